@@ -231,6 +231,15 @@ def p4_tenant_elapsed(spark: SparkSession, folder: str) -> DataFrame:
     return read_percentiles(sketch_groups(_audit(spark, folder), ["tenant_id", "day"], "elapsed_ms"), ["tenant_id", "day"])
 
 
+def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Both halves of the problem: measure, group_value, day, n, p50, p90, p95, p99."""
+    halves = [
+        p4_scene_tokens(spark, folder).select(F.lit("llm_usage.total_tokens").alias("measure"), F.col("scene").alias("group_value"), "day", "n", *[f"p{p}" for p in PERCENTILES]),
+        p4_tenant_elapsed(spark, folder).select(F.lit("sql_audit.elapsed_ms").alias("measure"), F.col("tenant_id").alias("group_value"), "day", "n", *[f"p{p}" for p in PERCENTILES]),
+    ]
+    return halves[0].unionByName(halves[1])
+
+
 def p4_scene_months(spark: SparkSession, folder: str) -> DataFrame:
     """The sketches of the days, merged to months: nothing is read twice for it."""
     days = sketch_groups(_usage(spark, folder), ["scene", "day"], "total_tokens").withColumn("month", F.date_format("day", "yyyy-MM"))
@@ -266,8 +275,10 @@ def _exact(by: str, rows: str, value: str) -> str:
 _LAST = "SELECT *, CAST(created_at AS DATE) AS day, strftime(created_at, '%Y-%m') AS month FROM {} QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1"
 # Equal where every group is smaller than a compactor, as at sf0.01; larger ones are held to ERROR by the last query.
 SQL = {
+    "p4_percentiles": f"""SELECT 'llm_usage.total_tokens' measure, scene group_value, * EXCLUDE (scene) FROM ({_exact("scene, day", _LAST.format("llm_usage"), "total_tokens")})
+UNION ALL SELECT 'sql_audit.elapsed_ms', tenant_id, * EXCLUDE (tenant_id) FROM ({_exact("tenant_id, day", _LAST.format("sql_audit"), "elapsed_ms")})""",
     "p4_scene_tokens": _exact("scene, day", _LAST.format("llm_usage"), "total_tokens"),
     "p4_tenant_elapsed": _exact("tenant_id, day", _LAST.format("sql_audit"), "elapsed_ms"),
     "p4_scene_months_error": f"SELECT scene, month, count(*) n, true AS within FROM ({_LAST.format('llm_usage')}) WHERE total_tokens >= 0 GROUP BY scene, month",
 }
-QUERIES = {"p4_scene_tokens": p4_scene_tokens, "p4_tenant_elapsed": p4_tenant_elapsed, "p4_scene_months": p4_scene_months, "p4_scene_months_error": p4_scene_months_error}
+QUERIES = {"p4_percentiles": p4_percentiles, "p4_scene_tokens": p4_scene_tokens, "p4_tenant_elapsed": p4_tenant_elapsed, "p4_scene_months": p4_scene_months, "p4_scene_months_error": p4_scene_months_error}
