@@ -1,7 +1,7 @@
 """Every query of this package, with its SQL."""
 
-from kbspark.llm import conversations, leakage, quantiles
+from kbspark.llm import conversations, leakage, packing, quantiles
 
-_MODULES = [conversations, quantiles, leakage]
+_MODULES = [conversations, quantiles, packing, leakage]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
