@@ -165,7 +165,7 @@ class Mender:
         single = [t for t in learned if t[1] != "utf-8" and t[1] not in _WIDE]
         self.multi = [Multi(used, rounds) for true, used, rounds in sorted(single, key=lambda t: -t[2]) if true == "utf-8"]
         # Chinese bytes read as a single-byte encoding: runs of characters of high bytes.
-        self.wide = [(true, used, regex.compile(f"[{_chars_of(used, 0x81, 0xFE)}]{{2,}}")) for true, used, rounds in single if true in _WIDE and rounds == 1]
+        self.wide = [(true, used, regex.compile(f"[{_chars_of(used, 0x81, 0xFE)}]{{4,}}")) for true, used, rounds in single if true in _WIDE and rounds == 1]
         # UTF-8 read as a Chinese encoding.
         self.chinese = [used for true, used, rounds in learned if true == "utf-8" and used in _WIDE and rounds == 1]
         # Single letters read as others; what comes out must be Latin, in bytes as in characters.
