@@ -17,7 +17,8 @@ EDGE = 3
 RATIO, CLEAN_RATIO = 20, 1000
 #: Letters and signs that scanning takes for one another, as what they are folded to.
 _LETTERS = ("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
-_PAIRS = {"ﬁ": "fi", "ﬂ": "fl", "cl": "d", "rn": "m", "vv": "w"}
+_LIGATURES = {"ﬁ": "fi", "ﬂ": "fl"}
+_PAIRS = {"1": "l", "cl": "d", "rn": "m", "vv": "w", "ii": "u"}
 _LOOKS = ("co05ul16bqf", "eaasniihhgt")
 #: Signs that a scan leaves between words, and signs for a split word.
 _STRAY = "~^|¦•`´¨"
@@ -31,17 +32,21 @@ _AS_DIGITS = str.maketrans("lI|OoSsBb", "111005586")
 _WORDS, _PAIRED, _OPEN = r"[\p{IsLatin}\p{N}]+", r"\p{IsLatin}+-\p{IsLatin}+", r"\p{IsLatin}+-(?= )"
 
 
-def fold(word: Column) -> Column:
-    """What words have in common that a scan takes for one another. The argument is in lower case."""
-    out = F.translate(word, *_LETTERS)
+def looks(word: Column) -> Column:
+    """What words have in common that a scan takes for one another: with pairs of letters taken for one letter, without,
+    and with 6 for é or ö. The argument is in lower case; words that share a look look alike."""
+    bare = F.translate(word, *_LETTERS)
+    for a, b in _LIGATURES.items():
+        bare = F.replace(bare, F.lit(a), F.lit(b))
+    paired = bare
     for a, b in _PAIRS.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.translate(out, *_LOOKS)
+        paired = F.replace(paired, F.lit(a), F.lit(b))
+    return F.array_distinct(F.array(*[F.translate(x, *_LOOKS) for x in (paired, bare, F.translate(bare, "6", "e"), F.translate(bare, "6", "o"))]))
 
 
 def _fold(word: str) -> str:
     out = word.lower().translate(str.maketrans(*_LETTERS))
-    for a, b in _PAIRS.items():
+    for a, b in (_LIGATURES | _PAIRS).items():
         out = out.replace(a, b)
     return out.translate(str.maketrans(*_LOOKS))
 
@@ -67,10 +72,10 @@ def read_edge(line: str) -> tuple[int | None, bool, str | None]:
         value = _roman(found[0]) or _roman(found[0].replace("l", "i").replace("1", "i"))
         if value:
             return value, True, None
-    if len(rest) > 1:
-        rest = rest[1:] if rest[0].islower() and _roman(rest[0]) else rest[:-1] if rest[-1].islower() and _roman(rest[-1]) else rest
-    key = "".join(map(_fold, rest))
-    return None, False, key if len(key) >= 4 else None
+    # A page's number beside the text is no part of the header; other numbers are.
+    inner = [t for k, t in enumerate(found) if not (k in (0, len(found) - 1) and (_NUMBER.fullmatch(t) or (t.islower() and _roman(t))))]
+    key = "".join(map(_fold, inner))
+    return None, False, key if len(key) >= 4 and rest else None
 
 
 def page_lines(docs: DataFrame) -> DataFrame:
@@ -98,12 +103,12 @@ def edge_lines(lines: DataFrame) -> DataFrame:
 
     A page number fits the sequence of its file: number minus page is the same on another page too (or no other page of
     the file has one). A header or footer is a line that comes again at an edge of another page of the file, but for
-    misreadings, page numbers and case; ends of sentences must come on two pages in five. Only counts per file and line
-    are shuffled and joined; no file is gathered.
+    misreadings, one other letter, page numbers and case; ends of sentences must come on two pages in five. Neither has
+    text between itself and the edge. Only counts per file and line are shuffled and joined; no file is gathered.
     """
     parse = F.pandas_udf(lambda s: pd.DataFrame([read_edge(x) for x in s], columns=["number", "roman", "key"]).astype({"number": "Int32"}), "number int, roman boolean, key string")
-    edge = lines.filter((F.col("top") < EDGE) | (F.col("bottom") < EDGE)).select("doc_id", "source", "page", "line_no", F.col("line").rlike(r"[.,;。，；]\s*$").alias("stop"), parse("line").alias("x"))
-    edge = edge.select("doc_id", "source", "page", "line_no", "stop", "x.number", "x.roman", "x.key")
+    edge = lines.filter((F.col("top") < EDGE) | (F.col("bottom") < EDGE)).select("doc_id", "source", "page", "line_no", "top", "bottom", F.col("line").rlike(r"[.,;。，；]\s*$").alias("stop"), parse("line").alias("x"))
+    edge = cut(edge.select("doc_id", "source", "page", "line_no", "top", "bottom", "stop", "x.number", "x.roman", "x.key"))
 
     numbered = edge.filter(F.col("number").isNotNull() & F.col("page").isNotNull()).withColumn("step", F.col("number") - F.col("page"))
     per_step = numbered.groupBy("source", "roman", "step").agg(F.countDistinct("page").alias("pages"))
@@ -115,8 +120,23 @@ def edge_lines(lines: DataFrame) -> DataFrame:
     per_key = keyed.groupBy("source", "key").agg(F.countDistinct("page").alias("pages"))
     in_file = edge.groupBy("source").agg(F.countDistinct("page").alias("all"))
     again = per_key.filter("pages > 1").join(in_file, "source").select("source", "key", (F.col("pages") >= 0.4 * F.col("all")).alias("often"))
-    headers = keyed.join(again, ["source", "key"]).filter(~F.col("stop") | F.col("often")).select("doc_id", "line_no", F.lit("running_header").alias("kind"))
-    return numbers.unionByName(headers).dropDuplicates(["doc_id", "line_no"])
+    same = keyed.join(again, ["source", "key"]).filter(~F.col("stop") | F.col("often")).select("doc_id", "line_no")
+    # Lines that differ from one of these in one letter meet it without that letter.
+    near = keyed.join(again, ["source", "key"], "left_anti").filter(~F.col("stop")).withColumn("part", F.explode(_without_one("key")))
+    near = near.join(again.select("source", F.explode(_without_one("key")).alias("part")).distinct(), ["source", "part"], "left_semi").select("doc_id", "line_no")
+    headers = same.unionByName(near).distinct().withColumn("kind", F.lit("running_header"))
+    marked = numbers.unionByName(headers).dropDuplicates(["doc_id", "line_no"])
+
+    # Only what lies outside all text.
+    ranked = edge.join(marked, ["doc_id", "line_no"], "left")
+    text = ranked.filter(F.col("kind").isNull()).groupBy("doc_id").agg(F.min("top").alias("first"), F.min("bottom").alias("last"))
+    outside = F.col("first").isNull() | (F.col("top") < F.col("first")) | (F.col("bottom") < F.col("last"))
+    return ranked.filter(F.col("kind").isNotNull()).join(text, "doc_id", "left").filter(outside).select("doc_id", "line_no", "kind").dropDuplicates(["doc_id", "line_no"])
+
+
+def _without_one(key: str) -> Column:
+    """The key without its n-th character, with n, for every n."""
+    return F.transform(F.sequence(F.lit(1), F.length(key)), lambda n: F.concat_ws(":", n.cast("string"), F.substring(F.col(key), F.lit(1), n - 1), F.substring(F.col(key), n + 1, F.length(key))))
 
 
 def body_lines(lines: DataFrame, edges: DataFrame) -> DataFrame:
@@ -135,7 +155,7 @@ def body_lines(lines: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """The words of the whole corpus in lower case: word, look (folded), n, clean (n in text that was never scanned).
+    """The words of the whole corpus in lower case: word, n, clean (n in text that was never scanned).
 
     Also hyphened pairs, and words with an open hyphen as in "in- and outputs". Codes (capitals, hyphen, number) are left out.
     """
@@ -143,27 +163,28 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     words = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (_WORDS, _PAIRED, _OPEN)])
     scanned = F.coalesce(F.col("doc_type") == "page", F.lit(False))
     found = docs.filter(F.col("text").isNotNull()).select(scanned.alias("scanned"), F.explode(words).alias("word"))
-    counted = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("scanned"), 0).otherwise(1)).alias("clean"))
-    return counted.withColumn("look", fold(F.col("word")))
+    return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("scanned"), 0).otherwise(1)).alias("clean"))
 
 
 def best_words(words: DataFrame) -> DataFrame:
     """Per look the most frequent word that was never scanned: look, best, often."""
-    return words.filter("clean > 0").groupBy("look").agg(F.max_by("word", F.struct("clean", "word")).alias("best"), F.max("clean").alias("often"))
+    seen = words.filter("clean > 0").select(F.explode(looks(F.col("word"))).alias("look"), "word", "clean")
+    return seen.groupBy("look").agg(F.max_by("word", F.struct("clean", "word")).alias("best"), F.max("clean").alias("often"))
 
 
-def misread_words(words: DataFrame) -> DataFrame:
-    """The words that are misread, with what they should be (null where it can't be told): word, best."""
-    judged = words.join(best_words(words), "look", "left")
-    letters = F.col("word").rlike(r"\p{L}") & (F.length("word") > 1)
-    rare = (F.col("n") * RATIO <= F.col("often")) & (F.col("clean") * CLEAN_RATIO <= F.col("often"))
-    like = letters & (F.col("word") != F.col("best")) & ~F.col("word").contains("-") & rare
-    figure = F.col("word").rlike(r"^[0-9loisb|]*[0-9][0-9loisb|]*$") & F.col("word").rlike("[a-z|]") & (F.col("clean") * RATIO <= F.col("n"))
-    return judged.filter(F.coalesce(like, F.lit(False)) | figure).select("word", F.when(F.coalesce(like, F.lit(False)), F.col("best")).otherwise(F.translate("word", "loisb|", "101561")).alias("best"))
+def misread_words(words: DataFrame, best: DataFrame) -> DataFrame:
+    """The words that are misread, with what they should be: word, best."""
+    # Only words with a letter that are rare in text that was never scanned can be.
+    asked = words.filter(F.col("word").rlike(r"\p{L}") & ~F.col("word").contains("-") & (F.col("clean") * RATIO <= F.col("n"))).select("word", "n", "clean", F.explode(looks(F.col("word"))).alias("look"))
+    rare = (F.col("n") * RATIO <= F.col("often")) & (F.col("clean") * CLEAN_RATIO <= F.col("often")) & (F.col("word") != F.col("best"))
+    figure = F.col("word").rlike(r"^[0-9loisb|]*[0-9][0-9loisb|]*$") & F.col("word").rlike("[a-z|]")
+    judged = asked.join(best, "look", "left").withColumn("like", F.coalesce(rare & (F.length("word") > 1), F.lit(False)))
+    right = F.when(F.col("like"), F.col("best")).otherwise(F.translate("word", "loisb|", "101581"))
+    return judged.filter(F.col("like") | figure).groupBy("word").agg(F.max_by(right, F.struct("like", "often")).alias("best"))
 
 
-def split_words(body: DataFrame, words: DataFrame) -> DataFrame:
-    """The lines that end within a word: doc_id, line_no, next_doc, next_no, left, right, best (what the word is, as far as the corpus knows it).
+def split_words(body: DataFrame, best: DataFrame) -> DataFrame:
+    """The lines that end within a word: doc_id, line_no, next_doc, next_no, left, right, best, often (what the word is, as far as the corpus knows it).
 
     Left and right are letters around the break, in lower case. With a plain hyphen the corpus decides between one word,
     a hyphened pair and an open hyphen by how often it has each, however misread; a word that it has in no form is taken
@@ -174,19 +195,20 @@ def split_words(body: DataFrame, words: DataFrame) -> DataFrame:
     cases = ends.select(
         "doc_id", "line_no", "next_doc", "next_no", F.lower(left).alias("left"), F.lower(right).alias("right"), F.col("line").rlike("- ?$").alias("plain"), right.rlike(r"^\p{Lu}").alias("capital")
     )
-    counts = words.groupBy("look").agg(F.sum("clean").alias("m"))
-    best = best_words(words)
-    joined = cases.withColumns({"one": fold(F.concat("left", "right")), "pair": fold(F.concat_ws("-", "left", "right")), "open": fold(F.concat("left", F.lit("-")))})
-    known = (
-        joined.join(best.withColumnRenamed("look", "one"), "one", "left")
-        .join(counts.select(F.col("look").alias("pair"), F.col("m").alias("pairs")), "pair", "left")
-        .join(counts.select(F.col("look").alias("open"), F.col("m").alias("opens")), "open", "left")
-        .na.fill(0, ["often", "pairs", "opens"])
-    )
+    forms = F.array(*[F.struct(F.lit(i).alias("form"), looks(x).alias("ls")) for i, x in enumerate(_forms())])
+    asked = cases.withColumn("f", F.explode(forms)).select(*cases.columns, "f.form", F.explode("f.ls").alias("look"))
+    found = asked.join(best, "look", "left").groupBy(*cases.columns)
+    of = lambda form: F.max(F.when(F.col("form") == form, F.struct("often", "best")))
+    known = found.agg(of(0).alias("one"), of(1).alias("pair"), of(2).alias("open")).select(*cases.columns, "one.best", *[F.coalesce(f"{x}.often", F.lit(0)).alias(n) for x, n in (("one", "often"), ("pair", "pairs"), ("open", "opens"))])
     split = ~F.col("plain") | F.when(F.col("often") > 0, F.col("often") >= F.col("pairs")).otherwise((F.col("pairs") == 0) & (F.col("opens") == 0) & ~F.col("capital"))
     return known.filter(split).select("doc_id", "line_no", "next_doc", "next_no", "left", "right", "best", "often")
 
 
+def _forms() -> list[Column]:
+    """The forms that a word around a break can have: one word, a hyphened pair, an open hyphen."""
+    return [F.concat("left", "right"), F.concat_ws("-", "left", "right"), F.concat("left", F.lit("-"))]
+
+
 def misread_lines(body: DataFrame, splits: DataFrame, misread: DataFrame) -> DataFrame:
     """The text lines with a misread word or a stray sign: doc_id, line_no.
 
@@ -221,11 +243,12 @@ def disturbed_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text", "source", "physical_page", "doc_type")
     lines = page_lines(docs)
-    edges = edge_lines(lines)
+    edges = cut(edge_lines(lines))
     body = cut(body_lines(lines, edges))
     words = cut(vocabulary(docs))
-    splits = cut(split_words(body, words))
-    misread = misread_lines(body, splits, misread_words(words))
+    best = best_words(words)
+    splits = cut(split_words(body, best))
+    misread = misread_lines(body, splits, misread_words(words, best))
     return (
         edges.select("doc_id", F.col("line_no").cast("int").alias("line_no"), "kind")
         .unionByName(splits.select("doc_id", F.col("line_no").cast("int").alias("line_no"), F.lit("split_word").alias("kind")).distinct())
