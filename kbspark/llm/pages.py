@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -209,12 +211,13 @@ def _forms() -> list[Column]:
     return [F.concat("left", "right"), F.concat_ws("-", "left", "right"), F.concat("left", F.lit("-"))]
 
 
-def misread_lines(body: DataFrame, splits: DataFrame, misread: DataFrame) -> DataFrame:
-    """The text lines with a misread word or a stray sign: doc_id, line_no.
+def misread_places(body: DataFrame, splits: DataFrame, misread: DataFrame, words: DataFrame) -> DataFrame:
+    """What is misread in the text lines: doc_id, line_no, word, best (null where a sign is too much, or a code is wrong).
 
     Words cut by a line end are judged as wholes, and count for the line with the wrong part.
     """
-    stray = body.filter(F.col("line").rlike(rf"(^|[^|])\s[{regex.escape(_STRAY)}]\s([^|]|$)|[~^¦`´¨]")).select("doc_id", "line_no")
+    none = F.lit(None).cast("string")
+    stray = body.filter(F.col("line").rlike(rf"(^|[^|])\s[{_STRAY.replace('^', chr(92) + '^')}]\s([^|]|$)|[~^¦`´¨]")).select("doc_id", "line_no", none.alias("word"), none.alias("best"))
     tail = splits.select(F.col("doc_id"), F.col("line_no"), F.lit(True).alias("cut_end"))
     head = splits.select(F.col("next_doc").alias("doc_id"), F.col("next_no").alias("line_no"), F.lit(True).alias("cut_start")).distinct()
     marked = body.select("doc_id", "line_no", "line").join(tail, ["doc_id", "line_no"], "left").join(head, ["doc_id", "line_no"], "left")
@@ -224,23 +227,27 @@ def misread_lines(body: DataFrame, splits: DataFrame, misread: DataFrame) -> Dat
     # Chinese lines end anywhere, so a Latin word at their edges may be a part.
     plain = F.when(plain.rlike("[一-鿿]"), F.regexp_replace(plain, r"^[\p{IsLatin}\p{N}_]+|[\p{IsLatin}\p{N}_]+$", "")).otherwise(plain)
     used = marked.select("doc_id", "line_no", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(_WORDS), F.lit(0)))).alias("word"))
-    wrong = used.join(misread.select("word"), "word").select("doc_id", "line_no")
-    code = body.filter(F.col("line").rlike(r"[A-Z]{2,4}-(?=[0-9]*[lOISB])[0-9lOISB]*[0-9][0-9lOISB]*(?![\p{L}\p{N}])")).select("doc_id", "line_no")
-    whole = F.concat("left", "right")
-    differs = splits.filter((F.col("often") >= RATIO) & (whole != F.col("best"))).withColumn(
-        "early", F.col("left") != F.substring(F.col("best"), F.lit(1), F.length("left"))
-    ).withColumn("late", F.col("right") != F.expr("right(best, length(right))"))
-    parts = differs.filter("early").select("doc_id", "line_no").unionByName(differs.filter("late").select(F.col("next_doc").alias("doc_id"), F.col("next_no").alias("line_no")))
-    return stray.unionByName(wrong).unionByName(code).unionByName(parts).distinct()
+    wrong = used.join(misread, "word").select("doc_id", "line_no", "word", "best")
+    code = body.filter(F.col("line").rlike(r"[A-Z]{2,4}-(?=[0-9]*[lOISB])[0-9lOISB]*[0-9][0-9lOISB]*(?![\p{L}\p{N}])")).select("doc_id", "line_no", none.alias("word"), none.alias("best"))
+    wholes = splits.withColumn("word", F.concat("left", "right")).join(words, "word", "left").na.fill(0, ["n", "clean"])
+    rare = (F.col("often") >= RATIO) & (F.col("n") * RATIO <= F.col("often")) & (F.col("clean") * CLEAN_RATIO <= F.col("often"))
+    start, end = F.expr("left(best, length(left))"), F.expr("right(best, length(right))")
+    parts = wholes.filter(rare & (F.col("word") != F.col("best")))
+    early = parts.filter(F.col("left") != start).select("doc_id", "line_no", F.col("left").alias("word"), start.alias("best"))
+    late = parts.filter(F.col("right") != end).select(F.col("next_doc").alias("doc_id"), F.col("next_no").alias("line_no"), F.col("right").alias("word"), end.alias("best"))
+    return stray.unionByName(wrong).unionByName(code).unionByName(early).unionByName(late)
 
 
-def disturbed_lines(docs: DataFrame) -> DataFrame:
-    """Every disturbed line of the pages once per kind: doc_id, line_no, kind.
+class Findings(NamedTuple):
+    """What is wrong with the pages, as tables in the shared folder."""
 
-    docs: doc_id, text, source, physical_page, doc_type. Pages without a source or number are read alone: they have no
-    page number in sequence, and their words go on only within the page. Other columns are ignored; repeated rows are
-    one page; an empty table has no line. All text of docs counts for the vocabulary, whatever its type.
-    """
+    edges: DataFrame
+    body: DataFrame
+    splits: DataFrame
+    misread: DataFrame
+
+
+def read_pages(docs: DataFrame) -> Findings:
     docs = docs.select("doc_id", "text", "source", "physical_page", "doc_type")
     lines = page_lines(docs)
     edges = cut(edge_lines(lines))
@@ -248,12 +255,103 @@ def disturbed_lines(docs: DataFrame) -> DataFrame:
     words = cut(vocabulary(docs))
     best = best_words(words)
     splits = cut(split_words(body, best))
-    misread = misread_lines(body, splits, misread_words(words, best))
-    return (
-        edges.select("doc_id", F.col("line_no").cast("int").alias("line_no"), "kind")
-        .unionByName(splits.select("doc_id", F.col("line_no").cast("int").alias("line_no"), F.lit("split_word").alias("kind")).distinct())
-        .unionByName(misread.select("doc_id", F.col("line_no").cast("int").alias("line_no"), F.lit("misread").alias("kind")))
-    )
+    return Findings(edges, body, splits, misread_places(body, splits, misread_words(words, best), words))
+
+
+def disturbed_lines(docs: DataFrame) -> DataFrame:
+    """Every disturbed line of the pages once per kind: doc_id, line_no, kind.
+
+    docs: doc_id, text, source, physical_page, doc_type. Pages without a source or number are read alone: they have no
+    page number in sequence, and their words go on only within the page. Other columns are ignored; repeated rows are
+    one page; an empty table has no line. All text of docs counts for the vocabulary, whatever its type.
+    """
+    found = read_pages(docs)
+    as_case = lambda df, kind: df.select("doc_id", F.col("line_no").cast("int").alias("line_no"), kind.alias("kind"))
+    split = as_case(found.splits.select("doc_id", "line_no").distinct(), F.lit("split_word"))
+    return as_case(found.edges, F.col("kind")).unionByName(split).unionByName(as_case(found.misread.select("doc_id", "line_no").distinct(), F.lit("misread")))
+
+
+def mend_pages(docs: DataFrame) -> DataFrame:
+    """The running text of every file: source, page and place (where a paragraph begins), text.
+
+    Headers and page numbers are gone, split words whole, misread words spelled as the corpus has them, stray signs
+    dropped. A paragraph ends at a blank line or before a numbered heading, and goes on over the page where its last
+    line has no stop. Pages are gathered one at a time, paragraphs over pages by joins of neighbouring pages, so no file
+    is. docs as in disturbed_lines.
+    """
+    found = read_pages(docs)
+    fixes = found.misread.filter("word IS NOT NULL").groupBy("doc_id", "line_no").agg(F.collect_set(F.struct("word", "best")).alias("fixes"))
+    ends = found.splits.select("doc_id", "line_no", F.lit(True).alias("split")).distinct()
+    lines = found.body.join(fixes, ["doc_id", "line_no"], "left").join(ends, ["doc_id", "line_no"], "left")
+    pages = lines.groupBy("doc_id", "source", "page").agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "gap", "fixes", F.coalesce("split", F.lit(False)).alias("split")))).alias("lines"))
+
+    @F.pandas_udf("array<struct<text:string,open:boolean>>")
+    def mend(column: pd.Series) -> pd.Series:
+        return pd.Series([_paragraphs(page) for page in column])
+
+    parts = cut(pages.select("doc_id", "source", "page", F.posexplode(mend("lines")).alias("place", "p")).select("doc_id", "source", "page", "place", "p.text", "p.open"))
+    # The page that the first paragraph of a page begins on, found by doubling steps back over pages of one paragraph.
+    page = parts.groupBy("source", "page").agg(F.max("place").alias("last"), F.max_by("open", "place").alias("open"))
+    before = page.select("source", (F.col("page") + 1).alias("page"), F.col("open").alias("carried"), F.col("last").alias("last_before"))
+    step = page.join(before, ["source", "page"], "left").select("source", "page", F.when(F.coalesce("carried", F.lit(False)), F.col("page") - 1).otherwise(F.col("page")).alias("back"), (F.col("last") > 0).alias("anchor"), "last")
+    step = cut(step)
+    while True:
+        far = step.select("source", F.col("page").alias("back"), F.when(F.col("anchor"), F.col("page")).otherwise(F.col("back")).alias("farther"))
+        moved = step.join(far, ["source", "back"], "left").withColumn("farther", F.when(F.col("back") < F.col("page"), F.coalesce("farther", "back")).otherwise(F.col("back")))
+        next_step = cut(moved.select("source", "page", F.col("farther").alias("back"), "anchor", "last", (F.col("farther") != F.col("back")).alias("moved")))
+        step = next_step.drop("moved")
+        if next_step.filter("moved").isEmpty():
+            break
+    begin = step.filter("back < page").join(step.select("source", F.col("page").alias("back"), F.col("last").alias("begin")), ["source", "back"]).select("source", "page", "back", "begin", F.lit(0).alias("place"))
+    placed = parts.join(begin, ["source", "page", "place"], "left")
+    whole = placed.select("doc_id", "source", "text", F.coalesce("back", "page").alias("at"), F.coalesce("begin", "place").alias("place"), F.col("page").alias("of"))
+    lone = whole.filter("source IS NULL OR at IS NULL")
+    run = whole.filter("source IS NOT NULL AND at IS NOT NULL").groupBy("source", "at", "place").agg(F.sort_array(F.collect_set(F.struct("of", "text"))).alias("parts"))
+    joined = F.aggregate("parts.text", F.lit(""), lambda a, t: F.when(a == "", t).when(a.endswith("\u0000"), F.concat(F.rtrim(a, F.lit("\u0000")), t)).otherwise(_glued(a, t)))
+    clean = lambda c: F.replace(c, F.lit("\u0000"), F.lit(""))
+    return run.select("source", F.col("at").alias("page"), "place", clean(joined).alias("text")).unionByName(lone.select("source", F.col("at").alias("page"), "place", clean(F.col("text")).alias("text")))
+
+
+def _glued(a: Column, b: Column) -> Column:
+    """Two pieces of running text, with a space but between Chinese characters."""
+    tight = a.rlike("[一-鿿　-〿＀-￯]$") | b.rlike("^[一-鿿　-〿＀-￯]")
+    return F.when(tight, F.concat(a, b)).otherwise(F.concat_ws(" ", a, b))
+
+
+_HEADING = regex.compile(r"\s*\d+(\.\d+)+ \S|#+ ")
+_STRAY_SIGN = regex.compile(rf"(?<=\S) [{regex.escape(_STRAY)}](?= )|[~^¦`´¨]")
+_OWN_HYPHEN = regex.compile(r"[\p{L}\p{N}]-$")
+#: Words after an open hyphen, as in "in- and outputs".
+_SHARED = regex.compile(r"(und|oder|bzw|bis|and|or|et|ou|y|e|o|u)\b")
+_TIGHT = regex.compile(r"[一-鿿　-〿＀-￯]")
+
+
+def _paragraphs(lines: list[dict]) -> list[dict]:
+    """The mended paragraphs of one page; a text whose last word goes on ends with a null character."""
+    out: list[dict] = []
+    after_heading = True
+    for row in lines:
+        line = _STRAY_SIGN.sub("", row["line"]).strip()
+        for fix in row["fixes"] if row["fixes"] is not None else ():
+            line = regex.sub(rf"(?i)(?<![\p{{Latin}}\p{{N}}]){regex.escape(fix['word'])}(?![\p{{Latin}}\p{{N}}])", lambda m, b=fix["best"]: b.capitalize() if m[0][:1].isupper() else b, line)
+        heading = _HEADING.match(line) is not None
+        if row["split"]:
+            line = line[:-1] + "\0"
+        if not out or row["gap"] or heading or after_heading:
+            out.append({"text": line, "open": False})
+        else:
+            text = out[-1]["text"]
+            if text.endswith("\0"):
+                text = text[:-1] + line
+            elif _TIGHT.match(text[-1:]) or _TIGHT.match(line[:1]) or (_OWN_HYPHEN.search(text) and not _SHARED.match(line)):
+                text += line
+            else:
+                text += " " + line
+            out[-1]["text"] = text
+        after_heading = heading
+    if out:
+        out[-1]["open"] = not after_heading and regex.search(r"[.。!?！？:：]$", out[-1]["text"]) is None
+    return out
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -264,5 +362,9 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return disturbed_lines(_pages(spark, folder))
 
 
+def p5_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return mend_pages(_pages(spark, folder))
+
+
 SQL: dict[str, str] = {}
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p5_found": p5_found, "p5_paragraphs": p5_paragraphs}
