@@ -1 +1 @@
-
+"""Column expressions: parsing, normalising and tokenising text."""
