@@ -63,7 +63,7 @@ def plain_path(path: Column) -> Column:
 
 
 def base_name(path: Column) -> Column:
-    """The last part of a path with / or \; null where that is empty, . or .."""
+    """The last part of a path with slashes of either kind; null where that is empty, . or .."""
     last = F.element_at(F.split(F.translate(path, "\\", "/"), "/"), -1)
     return F.when(~last.isin("", ".", ".."), last)
 
