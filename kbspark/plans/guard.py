@@ -73,7 +73,7 @@ def check(spark: SparkSession, sql: str, views: set[str]) -> Verdict:
     parts = list(_plans(root))
     known = {v.lower() for v in views}
     top = root
-    while top.nodeName() in ("GlobalLimit", "LocalLimit", "Offset", "Sort", "UnresolvedWith", "UnresolvedOrderByAll"):
+    while top.nodeName() in ("GlobalLimit", "LocalLimit", "Offset", "Sort", "UnresolvedWith", "UnresolvedOrderByAll", "Distinct"):
         top = top.child()
     for part, _ in parts:
         if part.nodeName() == "UnresolvedWith":

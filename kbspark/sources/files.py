@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 ENCODINGS = ("utf-8", "utf-8-sig", "gbk", "gb2312", "latin-1")
 
 
-@F.pandas_udf("text string, encoding string")
 def _decoded(contents: pd.Series) -> pd.DataFrame:
     rows = []
     for data in contents:
@@ -28,7 +27,7 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.{txt,md}") -> D
     """Files as documents: source (name), text, encoding, file_format, file_hash. The text of txt files is trimmed, and empty ones are no documents."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    rows = files.select(name.alias("source"), F.lower(F.element_at(F.split(name, r"\."), -1)).alias("file_format"), F.md5("content").alias("file_hash"), _decoded("content").alias("d"))
+    rows = files.select(name.alias("source"), F.lower(F.element_at(F.split(name, r"\."), -1)).alias("file_format"), F.md5("content").alias("file_hash"), F.pandas_udf(_decoded, "text string, encoding string")("content").alias("d"))
     text = F.when(F.col("file_format") == "txt", F.regexp_replace("d.text", r"^\s+|\s+$", "")).otherwise(F.col("d.text"))
     return rows.select("source", text.alias("text"), "d.encoding", "file_format", "file_hash").filter((F.col("file_format") != "txt") | (F.col("text") != ""))
 
