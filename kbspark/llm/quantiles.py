@@ -170,33 +170,31 @@ def merge_sketches(sketches: DataFrame, by: list[str], fan_in: int = 64) -> Data
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coins = np.random.default_rng(11)
-        group: pd.DataFrame | None = None  # the open group's key, as a frame of one row
+        key: tuple | None = None  # of the open group
         waiting: list[Sketch] = []
+        done: list[tuple] = []
 
-        def closed() -> pd.DataFrame:
+        def close() -> None:
             whole = Sketch.merge(waiting, coins)
-            return group.assign(n=whole.n, sketch=[whole.to_bytes()])
+            done.append((*key, whole.n, whole.to_bytes()))
 
         for batch in batches:
-            if not len(batch):
-                continue
-            starts = _runs(batch[by])
-            ends = [*starts[1:], len(batch)]
-            blobs, done = batch["sketch"].to_numpy(), []
-            for a, b in zip(starts, ends, strict=True):
-                key = batch[by].iloc[a : a + 1]
-                if group is None or len(_runs(pd.concat([group, key]))) > 1:
-                    if group is not None:
-                        done.append(closed())
-                    group, waiting = key, []
+            starts, keys, blobs = _runs(batch[by]).tolist(), batch[by].itertuples(index=False, name=None), batch["sketch"].to_numpy()
+            keys = list(keys)
+            for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
+                if key is None or a or not all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(key, keys[a], strict=True)):
+                    if key is not None:
+                        close()
+                    key, waiting = keys[a], []
                 for x in blobs[a:b]:
                     waiting.append(Sketch.from_bytes(x))
                     if len(waiting) == fan_in:
                         waiting[:] = [Sketch.merge(waiting, coins)]
-            if done:
-                yield pd.concat(done)
-        if group is not None:
-            yield closed()
+            yield pd.DataFrame(done, columns=[*by, "n", "sketch"])
+            done.clear()
+        if key is not None:
+            close()
+            yield pd.DataFrame(done, columns=[*by, "n", "sketch"])
 
     rows = sketches.select(*by, "n", "sketch")
     return rows.repartition(*by).sortWithinPartitions(*by).mapInPandas(fold, rows.schema)
