@@ -62,7 +62,7 @@ def best_fit(sizes: np.ndarray, capacity: int, most_docs: int, most_cost: float,
     return place
 
 
-def pack(sizes: DataFrame, containers: dict[str, int], items: int = ITEMS, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+def pack(sizes: DataFrame, containers: dict[str, int], items: int = ITEMS, weights: tuple[float, float, float] = WEIGHTS, rows: int | None = None) -> DataFrame:
     """Every text once in a container of each capacity: container, bin_id, doc_id, piece, first_token, tokens, capacity.
 
     sizes: doc_id, tokens; containers: capacity by name (the specification, a handful of rows). A text longer than the
@@ -71,14 +71,15 @@ def pack(sizes: DataFrame, containers: dict[str, int], items: int = ITEMS, weigh
     counts as 0; empty texts take a place but no tokens. Other columns are ignored; no rows give no rows.
 
     Texts are spread by the hash of their id over groups of about `items`, packed apart; the number of groups grows with
-    the table, never their size. A container holds at most DOCS_PER_TOKEN * capacity documents (at least one) and an
+    the table, never their size (`rows` tells how many texts there are, where that is known without reading sizes). A
+    container holds at most DOCS_PER_TOKEN * capacity documents (at least one) and an
     attention cost of capacity squared.
     """
-    rows = sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")).filter(F.col("doc_id").isNotNull())
-    groups = max(1, -(-rows.count() // items))
+    texts = sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")).filter(F.col("doc_id").isNotNull())
+    groups = max(1, -(-(texts.count() if rows is None else rows) // items))
     spec = F.array(*[F.struct(F.lit(n).alias("container"), F.lit(c).cast("long").alias("capacity")) for n, c in sorted(containers.items()) if c and c > 0])
     placed: Column = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("part")
-    spread = rows.select("doc_id", "tokens", placed, F.explode(spec).alias("x")).select("doc_id", "tokens", "part", "x.container", "x.capacity")
+    spread = texts.select("doc_id", "tokens", placed, F.explode(spec).alias("x")).select("doc_id", "tokens", "part", "x.container", "x.capacity")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         name, capacity, part = group["container"].iat[0], int(group["capacity"].iat[0]), group["part"].iat[0]
@@ -97,7 +98,7 @@ def pack(sizes: DataFrame, containers: dict[str, int], items: int = ITEMS, weigh
             {"container": name, "bin_id": [f"{part}-{b}" for b in out["bin"]], "doc_id": out["doc_id"], "piece": out["piece"], "first_token": (out["piece"] - 1) * capacity, "tokens": out["tokens"], "capacity": capacity}
         )
 
-    schema = f"container string, bin_id string, doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, first_token long, tokens long, capacity long"
+    schema = f"container string, bin_id string, doc_id {texts.schema['doc_id'].dataType.simpleString()}, piece int, first_token long, tokens long, capacity long"
     return spread.groupBy("container", "capacity", "part").applyInPandas(one, schema)
 
 
@@ -122,7 +123,8 @@ def _specification(spark: SparkSession, folder: str, most: int = 1000) -> dict[s
 
 
 def p6_placements(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(count_tokens(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text"), _specification(spark, folder))
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return pack(count_tokens(docs, "doc_id", "text"), _specification(spark, folder), rows=table(spark, folder, "documents", "doc_id").count())
 
 
 def p6_bins(spark: SparkSession, folder: str) -> DataFrame:
