@@ -12,10 +12,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.session import cut
 from kbspark.sources.tables import table
 
 #: Encodings that the learner tries as the true one and as the one that was used instead.
 CODECS = ("utf-8", "windows-1252", "latin-1", "gbk", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "big5", "shift_jis", "euc_kr")
+_SINGLE = ("windows-1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r")
 #: A character is common that occurs in at least one of so many documents.
 COMMON = 5000
 #: How much more frequent the restored spelling of a word must be than the garbled one.
@@ -58,12 +60,19 @@ def explain(garbled: str, clean: str) -> list[str]:
     """The transformations, as true>used>rounds, that make `garbled` of `clean`."""
     found = []
     for true in CODECS:
+        try:
+            data = to_bytes(clean, true)
+        except UnicodeError:
+            continue
         for used in CODECS:
+            # A single-byte encoding gives a character a byte, others never give more.
+            if len(garbled) < len(data) if used in _SINGLE else len(garbled) > len(data):
+                continue
             try:
-                once = garble(clean, true, used, 1)
+                once = to_text(data, used, "replace")
                 if once == garbled:
                     found.append(f"{true}>{used}>1")
-                elif used != "utf-8" and len(garbled) > len(once) and garble(once, true, used, 1) == garbled:
+                elif used in _SINGLE and len(garbled) > len(once) and garble(once, true, used, 1) == garbled:
                     found.append(f"{true}>{used}>2")
             except UnicodeError:
                 continue
@@ -91,7 +100,7 @@ def twins(docs: DataFrame) -> DataFrame:
     Of the spellings of a stripped sentence the most frequent one is taken as clean, and each other one is aligned with
     it, word by word; so a key with any number of spellings gives as many pairs, not their square.
     """
-    spelled = _sentences(docs).select(F.explode(stripped_keys(F.col("s"))).alias("key"), "s").groupBy("key", "s").agg(F.count(F.lit(1)).alias("n"))
+    spelled = cut(_sentences(docs).select(F.explode(stripped_keys(F.col("s"))).alias("key"), "s").groupBy("key", "s").agg(F.count(F.lit(1)).alias("n")))
     odd = F.col("s").rlike("[�\u0080-\u009f]")
     best = spelled.groupBy("key").agg(F.max_by("s", F.struct(~odd, "n", "s")).alias("c"), F.count(F.lit(1)).alias("spellings")).filter("spellings > 1").select("key", "c")
     pairs = spelled.join(best, "key").filter(F.col("s") != F.col("c")).select("s", "c", "n")
