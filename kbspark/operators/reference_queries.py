@@ -24,13 +24,11 @@ def references(spark: SparkSession, folder: str) -> DataFrame:
     )
     lists = ["missing_in_qdrant", "orphan_in_qdrant"]
     runs = fold_events(table(spark, folder, "reconcile_reports", "run_id", "run_at", *lists), "run_id", "run_at", ["run_at", *lists])
-    entries = [
-        runs.select(F.lit(name).alias("field"), F.col("run_id").alias("row_id"), F.explode(name).alias("entry"), F.col("run_at").alias("at")).select(
-            "field", "row_id", F.when(trimmed(F.col("entry")) != "", trimmed(F.col("entry"))).alias("value"), F.when(trimmed(F.col("entry")) != "", trimmed(F.col("entry"))).alias("key"), "at"
-        )
-        for name in lists
-    ]
-    return versions.unionByName(entries[0].distinct()).unionByName(entries[1].distinct())
+    both = F.array(*[F.struct(F.lit(name).alias("field"), F.col(name).alias("entries")) for name in lists])
+    entry = F.when(trimmed(F.col("entry")) != "", trimmed(F.col("entry")))
+    entries = runs.select("run_id", "run_at", F.explode(both).alias("x")).select("run_id", "run_at", "x.field", F.explode("x.entries").alias("entry"))
+    named = entries.select("field", F.col("run_id").alias("row_id"), entry.alias("value"), entry.alias("key"), F.col("run_at").alias("at")).distinct()
+    return versions.unionByName(named)
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:

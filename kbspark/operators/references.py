@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.session import cut
+
 
 def orphan_references(refs: DataFrame, parents: DataFrame, salts: int = 16) -> DataFrame:
     """The references whose record did not exist when they were made, with the reason.
@@ -20,9 +22,9 @@ def orphan_references(refs: DataFrame, parents: DataFrame, salts: int = 16) -> D
 
     The parents are matched with the distinct keys and the span of their times, both combined before the shuffle: a key
     that holds a third of all references is one row there. Only keys that can be an orphan for some reference come back
-    to the references (sound keys go no further), each under `salts` salts, so that a hot one is met in as many places.
+    to the references (written once, as they are read three times; sound keys go no further), each under `salts` salts, so that a hot one is met in as many places.
     """
-    refs = refs.select("field", "row_id", "value", "key", "at").filter(F.col("value").isNotNull())
+    refs = cut(refs.select("field", "row_id", "value", "key", "at").filter(F.col("value").isNotNull()))
     keyed = refs.filter(F.col("key").isNotNull())
     known = parents.select("field", "key", "born", "gone", F.lit(True).alias("known"))
     distinct = keyed.groupBy("field", "key").agg(F.min("at").alias("first"), F.max("at").alias("last"))
