@@ -31,7 +31,7 @@ _NUMBER = regex.compile(r"[0-9lIOoSsBb|]*[0-9][0-9lIOoSsBb|]*|l{1,2}|[IO]")
 _ROMAN = regex.compile(r"(?i)(?=.)(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})")
 _TOKEN = regex.compile(r"[\p{L}\p{N}|--[一-鿿]]+|[一-鿿]+", regex.V1)
 _AS_DIGITS = str.maketrans("lI|OoSsBb", "111005586")
-_WORDS, _PAIRED, _OPEN = r"[\p{IsLatin}\p{N}]+", r"\p{IsLatin}+-\p{IsLatin}+", r"\p{IsLatin}+-(?= )"
+_WORDS, _HYPHENED = r"[\p{IsLatin}\p{N}]+", r"\p{IsLatin}+-(?:\p{IsLatin}+|(?= ))"
 
 
 def looks(word: Column) -> Column:
@@ -87,17 +87,11 @@ def page_lines(docs: DataFrame) -> DataFrame:
     """
     pages = docs.filter("doc_type = 'page' AND text IS NOT NULL").select("doc_id", "source", F.col("physical_page").alias("page"), F.split("text", "\n").alias("ls"))
     full = F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.get("ls", i).rlike(r"[^\s　]"))
-    ranked = pages.withColumn("full", full).select("doc_id", "source", "page", "ls", "full", F.posexplode("full").alias("top", "at"))
-    return ranked.select(
-        "doc_id",
-        "source",
-        "page",
-        (F.col("at") + 1).alias("line_no"),
-        F.get("ls", F.col("at")).alias("line"),
-        "top",
-        (F.size("full") - F.col("top") - 1).alias("bottom"),
-        F.coalesce(F.col("at") - F.get("full", F.col("top") - 1) > 1, F.lit(False)).alias("gap"),
+    # Lines are built within the page, so that none carries the whole page along.
+    line = lambda at, k: F.struct(
+        (at + 1).alias("line_no"), F.get("ls", at).alias("line"), k.alias("top"), (F.size("full") - k - 1).alias("bottom"), F.coalesce(at - F.get("full", k - 1) > 1, F.lit(False)).alias("gap")
     )
+    return pages.withColumn("full", full).select("doc_id", "source", "page", F.inline(F.transform("full", line)))
 
 
 def edge_lines(lines: DataFrame) -> DataFrame:
@@ -148,7 +142,7 @@ def body_lines(lines: DataFrame, edges: DataFrame) -> DataFrame:
     """
     body = lines.join(edges.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti").repartition("doc_id").dropDuplicates(["doc_id", "line_no"])
     order = W.partitionBy("doc_id").orderBy("line_no")
-    body = body.withColumns({"after_no": F.lead("line_no").over(order), "after": F.lead("line").over(order), "rank": F.row_number().over(order)})
+    body = cut(body.withColumns({"after_no": F.lead("line_no").over(order), "after": F.lead("line").over(order), "rank": F.row_number().over(order)}))
     firsts = body.filter("rank = 1 AND page IS NOT NULL").groupBy("source", (F.col("page") - 1).alias("page")).agg(F.min(F.struct("doc_id", "line_no", "line")).alias("first"))
     linked = body.filter(F.col("after_no").isNull()).join(firsts, ["source", "page"], "left").select(*body.columns, "first")
     inside = body.filter(F.col("after_no").isNotNull()).withColumn("first", F.struct(F.col("doc_id"), F.col("after_no").alias("line_no"), F.col("after").alias("line")))
@@ -162,7 +156,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     Also hyphened pairs, and words with an open hyphen as in "in- and outputs". Codes (capitals, hyphen, number) are left out.
     """
     text = F.lower(F.regexp_replace("text", r"[A-Z]{2,4}-[\p{L}\p{N}]+", " "))
-    words = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (_WORDS, _PAIRED, _OPEN)])
+    found = F.regexp_extract_all(text, F.lit(f"{_HYPHENED}|{_WORDS}"), F.lit(0))
+    words = F.flatten(F.transform(found, lambda w: F.when(w.contains("-"), F.concat(F.array(w), F.filter(F.split(w, "-"), lambda p: p != ""))).otherwise(F.array(w))))
     scanned = F.coalesce(F.col("doc_type") == "page", F.lit(False))
     found = docs.filter(F.col("text").isNotNull()).select(scanned.alias("scanned"), F.explode(words).alias("word"))
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("scanned"), 0).otherwise(1)).alias("clean"))
