@@ -277,7 +277,7 @@ def _spelling(word: Column) -> Column:
 def garbled_places(docs: DataFrame) -> DataFrame:
     """Every garbled piece of every document, once, with what it was: doc_id, garbled, restored (null where it is lost).
 
-    docs: doc_id, text. A null text has no piece; repeated rows of a doc_id are read as one document. Other columns are
+    docs: doc_id, text. A null text or doc_id has no piece; repeated rows of a doc_id are read as one document. Other columns are
     ignored; an empty table gives none. A piece whose line also has its right spelling is text that speaks of the error,
     and none.
 
@@ -285,7 +285,7 @@ def garbled_places(docs: DataFrame) -> DataFrame:
     where the bytes prove it, else as a guess that must be far more frequent in the corpus than the garbled spelling.
     Documents are read where they lie; only hashes of words outside ASCII and the pieces are shuffled.
     """
-    docs = docs.select("doc_id", "text").filter(F.col("text").rlike(r"[^\x00-\x7F]"))
+    docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x00-\x7F]"))
     mender = docs.sparkSession.sparkContext.broadcast((learn(twins(docs)), common_characters(docs)))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

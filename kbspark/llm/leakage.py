@@ -92,7 +92,7 @@ def leaked_items(items: DataFrame, docs: DataFrame, share: float = SHARE, block_
     """Every pair of an item and a document that holds at least `share` of it, with that share.
 
     items: item_id, text; docs: doc_id, text. Result: item_id, doc_id, coverage (double). Items of fewer than
-    LEAST_TOKENS tokens and null texts have no pair; repeated item rows are one (the greatest text of an id counts);
+    LEAST_TOKENS tokens, null texts and null ids have no pair; repeated item rows are one (the greatest text of an id counts);
     repeated documents each have their own row. Other columns are ignored; empty tables give an empty result.
 
     The items go to the tasks in blocks of at most `block_tokens` tokens (a longer item alone), each block in its own
@@ -118,7 +118,7 @@ def leaked_items(items: DataFrame, docs: DataFrame, share: float = SHARE, block_
                     rows.append((item, ids[k], coverage(index.value.tokens[item], held)))
                 yield pd.DataFrame([r for r in rows if r[2] >= share], columns=["item_id", "doc_id", "coverage"])
 
-        pairs = docs.select("doc_id", "text").mapInPandas(search, "item_id long, doc_id long, coverage double")
+        pairs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(search, "item_id long, doc_id long, coverage double")
         result = pairs if result is None else result.unionByName(pairs)
     return result if result is not None else spark.createDataFrame([], "item_id long, doc_id long, coverage double")
 

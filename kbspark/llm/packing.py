@@ -24,7 +24,7 @@ WEIGHTS = (1.0, 0.05, 0.1)
 
 
 def count_tokens(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """`key` and tokens (int), the number of tokens of `text` in the vocabulary at `tokenizer`. Whole texts; null texts have no row."""
+    """`key` and tokens (int), the number of tokens of `text` in the vocabulary at `tokenizer`. Whole texts; null texts and keys have no row."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
@@ -35,7 +35,7 @@ def count_tokens(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER)
         for batch in batches:
             yield pd.DataFrame({"key": batch["key"], "tokens": [len(coder.encode_ordinary(x)) for x in batch["text"]]})
 
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
     schema = f"key {rows.schema['key'].dataType.simpleString()}, tokens int"
     return rows.mapInPandas(count, schema).withColumnRenamed("key", key)
 

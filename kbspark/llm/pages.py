@@ -83,9 +83,9 @@ def read_edge(line: str) -> tuple[int | None, bool, str | None]:
 def page_lines(docs: DataFrame) -> DataFrame:
     """The lines with text of every page: doc_id, source, page, line_no (from 1), line, top and bottom (rank from the edges), gap (after a blank line).
 
-    docs: doc_id, text, source, physical_page, doc_type. Null texts and other types have no line.
+    docs: doc_id, text, source, physical_page, doc_type. Null texts and ids and other types have no line.
     """
-    pages = docs.filter("doc_type = 'page' AND text IS NOT NULL").select("doc_id", "source", F.col("physical_page").alias("page"), F.split("text", "\n").alias("ls"))
+    pages = docs.filter("doc_type = 'page' AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "source", F.col("physical_page").alias("page"), F.split("text", "\n").alias("ls"))
     full = F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.get("ls", i).rlike(r"[^\s　]"))
     # Lines are built within the page, so that none carries the whole page along.
     line = lambda at, k: F.struct(

@@ -26,7 +26,7 @@ def corpus():
     chinese = CHINESE[0].format(4711)
     docs += [(1000, chinese, "x"), (1001, garble(chinese, "utf-8", "windows-1252", 1), "x"), (1002, chinese.replace("4711", "8155"), "x")]
     bad[1001] = (chinese, "once")
-    docs += [(2000, "Known issue: exports show fÃ¼r instead of für.", "x"), (2001, "Wird „ü“ als „Ã¼“ angezeigt, bitte neu laden.", "x"), (2002, None, "x"), (2003, "", "x"), (2004, "plain ASCII " * 9000, "x"), (2005, "已知问题：旧导出文件把Größe显示成GrÃ¶ÃŸe。", "x")]
+    docs += [(2000, "Known issue: exports show fÃ¼r instead of für.", "x"), (2001, "Wird „ü“ als „Ã¼“ angezeigt, bitte neu laden.", "x"), (2002, None, "x"), (None, "fÃ¼r", "x"), (2003, "", "x"), (2004, "plain ASCII " * 9000, "x"), (2005, "已知问题：旧导出文件把Größe显示成GrÃ¶ÃŸe。", "x")]
     return docs, bad
 
 

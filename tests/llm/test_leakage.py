@@ -11,6 +11,8 @@ def brute(items, docs):
         if len(t) < LEAST_TOKENS:
             continue
         for d, x in docs:
+            if d is None:
+                continue
             b = tokens(x or "")
             held = {tuple(b[k : k + WIDTH]) for k in range(len(b) - WIDTH + 1)}
             inside = {j for k in range(len(t) - WIDTH + 1) if tuple(t[k : k + WIDTH]) in held for j in range(k, k + WIDTH)}
@@ -35,7 +37,7 @@ def make(seed):
             at = draw.randrange(len(body) + 1)
             body[at:at] = [w.upper() if draw.random() < 0.5 else w for w in words[a : a + size]]
         docs.append((d, " ".join(body)))
-    return items, [*docs, (900, None), (901, ""), (902, docs[3][1])]
+    return items, [*docs, (None, docs[4][1]), (900, None), (901, ""), (902, docs[3][1])]
 
 
 def test_pairs_equal_brute_force(spark):

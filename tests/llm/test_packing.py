@@ -47,6 +47,6 @@ def test_best_fit_against_constraints():
 
 
 def test_counts(spark):
-    df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "中文 " * 20_000), (5, "<|endoftext|>")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (None, "x"), (4, "中文 " * 20_000), (5, "<|endoftext|>")], "doc_id long, text string")
     found = {r["doc_id"]: r["tokens"] for r in count_tokens(df, "doc_id", "text").collect()}
     assert found[1] == 2 and found[2] == 0 and 3 not in found and found[4] > 40_000 and found[5] > 1

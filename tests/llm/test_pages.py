@@ -39,7 +39,7 @@ def pages():
         lines += ["", ["- 4 -", "- 5 -", "- 6 -", "- 7 -", "- 8 -", "- l1 -"][p - 1] if p < 6 else "- 9 -"]
         expected.add((i, len(lines), "page_number"))
         docs.append((i, "\n".join(lines), "scan.pdf", p, "page", "x"))
-    docs += [(2000, None, "scan.pdf", 9, "page", "x"), (2001, "", "other.pdf", 1, "page", "x"), (2002, "delivery warranty\n12\ncontract", None, None, "page", "x")]
+    docs += [(None, "12", "scan.pdf", 1, "page", "x"), (2000, None, "scan.pdf", 9, "page", "x"), (2001, "", "other.pdf", 1, "page", "x"), (2002, "delivery warranty\n12\ncontract", None, None, "page", "x")]
     return docs, expected
 
 
