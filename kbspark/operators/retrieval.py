@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +30,14 @@ def equals_filter(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
     return df
 
 
+def delete_matching(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """df without the rows that equal `wanted` in every column it names; without any column nothing is deleted."""
+    if not wanted:
+        return df
+    equal = [F.coalesce(F.col(name) == F.lit(value), F.lit(False)) for name, value in wanted.items()]
+    return df.filter(~reduce(lambda a, b: a & b, equal))
+
+
 def best(df: DataFrame, k: int, score: str = "score", query: str = "query_id", doc: str = "doc_id") -> DataFrame:
     """The k best rows of each query by score (rounded to 6 places), then doc; with their rank. Spark cuts each query before the shuffle."""
     order = W.partitionBy(query).orderBy(F.round(score, 6).desc(), F.col(doc).asc())

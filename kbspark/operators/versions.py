@@ -42,6 +42,29 @@ def reserve(rows: DataFrame, offers: DataFrame) -> DataFrame:
     return joined.select("document_key", "file_hash", number.cast("int").alias("doc_version"), reused.alias("reused"))
 
 
+def activate(rows: DataFrame, document_key: str, version: int) -> DataFrame:
+    """The registry with one version of a document made current and its others not, as for going back to an older one.
+
+    A key with a pending or failed version, or without a ready one of that number, stays as it is.
+    """
+    own = F.col("document_key") == document_key
+    free = rows.filter(own).agg(
+        (F.count_if(F.lower("status").isin("pending", "failed")) == 0).alias("idle"), (F.count_if((F.col("doc_version") == version) & (F.lower("status") == "ready")) > 0).alias("there")
+    )
+    # One row of the key's state beside every row of the registry.
+    joined = rows.join(F.broadcast(free))
+    now = F.when(own & F.col("idle") & F.col("there"), F.col("doc_version") == version).otherwise(F.col("is_current"))
+    return joined.withColumn("is_current", now).select(*rows.columns)
+
+
+def upsert(rows: DataFrame, new: DataFrame, key: list[str], version: str) -> DataFrame:
+    """Both tables' rows with one row a key, the one with the greatest `version` (of equal ones that of `new`). Null keys are equal."""
+    both = rows.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1)))
+    others = [c for c in rows.columns if c not in key]
+    picked = both.groupBy(*key).agg(F.max(F.struct(F.col(version).alias("upsert_version"), "is_new", *[F.col(c).alias(f"upsert_{i}") for i, c in enumerate(others)])).alias("upsert_row"))
+    return picked.select(*key, *[F.col(f"upsert_row.upsert_{i}").alias(c) for i, c in enumerate(others)]).select(*rows.columns)
+
+
 def visible(df: DataFrame, version_id: str, rows: DataFrame) -> DataFrame:
     """The rows that name no version, or a current one. Version ids are compared by value, however written."""
     value = whole_number(F.col(version_id))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,15 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, needed
     return rows
 
 
+def matching_files(files: DataFrame, patterns: str, path: str = "source") -> DataFrame:
+    """The files whose name or path fits one of the comma-separated patterns with * and ?; no pattern fits all."""
+    named = [p.strip() for p in patterns.split(",") if p.strip()]
+    if not named:
+        return files
+    as_regex = "|".join("".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in p) for p in named)
+    return files.filter(F.col(path).rlike(f"^(?:{as_regex})$") | F.element_at(F.split(path, "/"), -1).rlike(f"^(?:{as_regex})$"))
+
+
 def new_files(files: DataFrame, done: DataFrame) -> DataFrame:
     """The files that are not yet in with the same hash and success: files by source and file_hash, done with status."""
     return files.join(done.filter("status = 'success'").select("source", "file_hash"), ["source", "file_hash"], "left_anti")

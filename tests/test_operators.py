@@ -155,3 +155,29 @@ def test_routes(spark):
     assert one(spark, routing.route(F.lit("What does the warranty say?"))) == "rag"
     assert one(spark, routing.route(F.lit("Hello"))) == "llm"
     assert one(spark, routing.route(F.lit(None).cast("string"))) is None
+
+
+def test_delete_and_upsert(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", 5), (3, None, 5)], "id int, s string, v int")
+    assert retrieval.delete_matching(df, {}).count() == 3
+    assert sorted(r["id"] for r in retrieval.delete_matching(df, {"s": "a", "v": 5}).collect()) == [1, 3]
+    new = spark.createDataFrame([(9, "a", 5), (8, "b", 1)], "id int, s string, v int")
+    assert sorted((r["s"] or "", r["id"]) for r in versions.upsert(df, new, ["s"], "v").collect()) == [("", 3), ("a", 9), ("b", 8)]
+
+
+def test_activate(spark):
+    rows = spark.createDataFrame([("k", 1, "ready", False), ("k", 2, "ready", True), ("m", 1, "ready", False), ("m", 2, "pending", True)], "document_key string, doc_version int, status string, is_current boolean")
+    current = lambda df: sorted((r["document_key"], r["doc_version"]) for r in df.filter("is_current").collect())
+    assert current(versions.activate(rows, "k", 1)) == [("k", 1), ("m", 2)]
+    assert current(versions.activate(rows, "m", 1)) == [("k", 2), ("m", 2)]
+    assert current(versions.activate(rows, "k", 7)) == [("k", 2), ("m", 2)]
+
+
+def test_context(spark):
+    from kbspark.operators import context
+
+    ranked = spark.createDataFrame([(1, 10, 2), (1, 11, 1), (1, 99, 3)], "query_id long, doc_id long, rank int")
+    docs = spark.createDataFrame([(10, "a.md", "x" * 300), (11, None, None)], "doc_id long, source string, text string")
+    assert context.numbered_sources(ranked, docs).collect()[0]["context"] == "[1] : \n[2] a.md: " + "x" * 200
+    assert one(spark, context.shortened(F.lit("y" * 50))) == "y" * 37 + "..."
+    assert one(spark, context.logical_page(F.lit("a\nb\n- 12 -"))) == 12 and one(spark, context.logical_page(F.lit("12 pumps"))) is None

@@ -41,6 +41,7 @@ def test_new_and_replaced(spark):
     listed = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "source string, file_hash string")
     done = spark.createDataFrame([("a", "1", "success"), ("b", "2", "failed"), ("c", "9", "success")], "source string, file_hash string, status string")
     assert sorted(r["source"] for r in files.new_files(listed, done).collect()) == ["b", "c"]
+    assert [r["source"] for r in files.matching_files(spark.createDataFrame([("x/a.txt",), ("b.md",)], "source string"), "*.txt, c?").collect()] == ["x/a.txt"]
     old, new = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(2, "z")], "k int, v string")
     assert sorted((r["k"], r["v"]) for r in files.replace_rows(old, new, "k").collect()) == [(1, "x"), (2, "z")]
 
