@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kbspark.functions.scalars import search_tokens, search_tokens_sql, word_set, word_set_sql
-from kbspark.operators.events import any_of
+from kbspark.operators.events import any_of, fold_events
 from kbspark.sources.tables import table
 
 #: BM25's saturation and length constants, and the constant of reciprocal rank fusion.
@@ -158,11 +158,10 @@ def q_link(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_example(spark: SparkSession, folder: str) -> DataFrame:
-    """For each evaluation item the three examples (items asked with every fiftieth) that fit best, of those that fit at all."""
-    rows = table(spark, folder, "qa_test_v2", "item_id", "question").filter("question IS NOT NULL").distinct()
-    asked = rows.filter(f"item_id % {EVERY} = 0").select(F.col("item_id").alias("query_id"), "question")
-    examples = rows.select(F.col("item_id").alias("doc_id"), F.col("question").alias("example"))
-    scored = examples.join(asked, F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", example_score(F.col("question"), F.col("example"), AGGREGATES).alias("score"))
+    """For every fiftieth evaluation item the three chat questions that fit it best, of those that fit at all."""
+    messages = fold_events(table(spark, folder, "messages", "id", "loaded_at", "role", "content"), "id", "loaded_at", ["role", "content"])
+    examples = messages.filter(F.lower(F.trim("role")).isin("user", "human") & F.col("content").isNotNull()).select(F.col("id").alias("doc_id"), F.col("content").alias("example"))
+    scored = examples.join(_items(spark, folder)).select("query_id", "doc_id", example_score(F.col("question"), F.col("example"), AGGREGATES).alias("score"))
     return best(scored, 3).filter(F.col("score") >= 0.12).select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -202,7 +201,7 @@ _OV = lambda k: f"SELECT query_id, doc_id, round(score, 4) AS score, rank FROM (
 _ASKS = lambda c: "(" + " OR ".join(f"contains(lower({c}), '{w}')" for w in AGGREGATES) + ")"
 _BOTH = lambda a, b: f"len(list_intersect({word_set_sql(a)}, {word_set_sql(b)}))"
 _EXAMPLES = f"""SELECT query_id, doc_id, {_BOTH('question', 'example')} / greatest(1, len({word_set_sql('question')})) + CASE WHEN {_ASKS('question')} AND {_ASKS('example')} THEN 0.35 ELSE 0 END AS score
-FROM {_ITEMS}, (SELECT DISTINCT item_id AS doc_id, question AS example FROM qa_test_v2 WHERE question IS NOT NULL) WHERE doc_id <> query_id"""
+FROM {_ITEMS}, (SELECT id AS doc_id, content AS example FROM (SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1) WHERE lower(trim(role, ' ')) IN ('user', 'human') AND content IS NOT NULL)"""
 _NEAR = f"""SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score
 FROM embeddings q, embeddings v WHERE q.vec_id % {EVERY} = 0 AND v.vec_id <> q.vec_id"""
 SQL = {

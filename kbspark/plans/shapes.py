@@ -39,7 +39,7 @@ STATEMENTS = {
     "diff_two_counts": "SELECT (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') - (SELECT count(*) FROM customer WHERE c_mktsegment = 'MACHINERY') AS difference",
     "product_sum": "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY l_returnflag",
     "inner_join": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
-    "left_join": "SELECT r_name, count(n_nationkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name",
+    "left_join": "SELECT n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY n_name",
     "full_join": "SELECT count(*) AS n, count(c_custkey) AS customers, count(o_orderkey) AS orders FROM customer FULL JOIN orders ON o_custkey = c_custkey",
     "semi_join": "SELECT count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
     "anti_join": "SELECT count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
