@@ -115,18 +115,28 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", "doc_id", "source", "text", "doc_type").filter("doc_type != 'page'")
 
 
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    """What _docs leaves out: scanned and PDF pages, each a text of its own, and rows without a doc_type."""
+    return table(spark, folder, "documents", "doc_id", "source", "text", "doc_type").filter("doc_type = 'page' OR doc_type IS NULL")
+
+
+_ON_TEXTS = {
+    "paragraphs": lambda docs: paragraphs(docs).select("doc_id", F.col("n").cast("long").alias("n"), F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("chars")),
+    "blank_line_clean": lambda docs: docs.filter("text IS NOT NULL").select("doc_id", F.md5(without_page_marks(F.col("text"))).alias("text_md5")),
+    "md_table_detect": lambda docs: docs.filter("text IS NOT NULL").groupBy("doc_type", is_table(F.col("text")).alias("is_table")).agg(F.count(F.lit(1)).alias("n")),
+    "row_sentences": table_rows,
+    "table_pieces": lambda docs: table_pieces(docs).select("doc_id", F.col("n").cast("long").alias("n"), F.md5("text").alias("text_md5")),
+    "sheet_summary": sheet_summary,
+    "chunk_ids_md5": lambda docs: docs.filter("text IS NOT NULL").select("doc_id", chunk_id(F.col("source"), F.col("text")).alias("id")),
+    "filename_prefix": lambda docs: docs.filter("text IS NOT NULL").select("doc_id", F.md5(F.concat(F.lit("【文档: "), F.col("source"), F.lit("】\n"), F.col("text"))).alias("text_md5")),
+}
 QUERIES = {
-    "paragraphs": lambda s, d: paragraphs(_docs(s, d)).select("doc_id", F.col("n").cast("long").alias("n"), F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("chars")),
-    "chunks": lambda s, d: chunks(_docs(s, d)),
-    "blank_line_clean": lambda s, d: _docs(s, d).filter("text IS NOT NULL").select("doc_id", F.md5(without_page_marks(F.col("text"))).alias("text_md5")),
-    "md_table_detect": lambda s, d: _docs(s, d).filter("text IS NOT NULL").groupBy("doc_type", is_table(F.col("text")).alias("is_table")).agg(F.count(F.lit(1)).alias("n")),
-    "row_sentences": lambda s, d: table_rows(_docs(s, d)),
-    "table_pieces": lambda s, d: table_pieces(_docs(s, d)).select("doc_id", F.col("n").cast("long").alias("n"), F.md5("text").alias("text_md5")),
-    "sheet_summary": lambda s, d: sheet_summary(_docs(s, d)),
-    "chunk_ids_md5": lambda s, d: _docs(s, d).filter("text IS NOT NULL").select("doc_id", chunk_id(F.col("source"), F.col("text")).alias("id")),
-    "filename_prefix": lambda s, d: _docs(s, d).filter("text IS NOT NULL").select("doc_id", F.md5(F.concat(F.lit("【文档: "), F.col("source"), F.lit("】\n"), F.col("text"))).alias("text_md5")),
+    **{name: lambda s, d, f=f: f(_docs(s, d)) for name, f in _ON_TEXTS.items()},
+    **{f"page_{name}": lambda s, d, f=f: f(_pages(s, d)) for name, f in _ON_TEXTS.items()},
+    "chunks": lambda s, d: chunks(table(s, d, "documents", "doc_id", "source", "text")),
 }
 _DOCS = "(SELECT * FROM documents WHERE doc_type <> 'page' AND text IS NOT NULL)"
+_PAGES = "(SELECT * FROM documents WHERE (doc_type = 'page' OR doc_type IS NULL) AND text IS NOT NULL)"
 _TRIM = lambda x: rf"regexp_replace({x}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
 _LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
 _TABLED = rf"(SELECT *, {_LINES} AS ls FROM {_DOCS} WHERE len({_LINES}) >= 2 AND contains({_LINES}[1], '|') AND regexp_full_match({_LINES}[2], '\s*\|?\s*:?-{{2,}}:?\s*(\|\s*:?-{{2,}}:?\s*)*\|?\s*'))"
@@ -146,3 +156,4 @@ SELECT doc_id, n, md5(array_to_string(list_concat(ls[1:2], ls[3 + n * {ROWS}: 2
     "chunk_ids_md5": f"SELECT doc_id, md5(source || ':' || substring(text, 1, 200)) AS id FROM {_DOCS}",
     "filename_prefix": f"SELECT doc_id, md5('【文档: ' || source || '】' || chr(10) || text) AS text_md5 FROM {_DOCS}",
 }
+SQL |= {f"page_{name}": sql.replace(_DOCS, _PAGES) for name, sql in SQL.items()}

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -181,3 +182,14 @@ def test_context(spark):
     assert context.numbered_sources(ranked, docs).collect()[0]["context"] == "[1] : \n[2] a.md: " + "x" * 200
     assert one(spark, context.shortened(F.lit("y" * 50))) == "y" * 37 + "..."
     assert one(spark, context.logical_page(F.lit("a\nb\n- 12 -"))) == 12 and one(spark, context.logical_page(F.lit("12 pumps"))) is None
+
+
+def test_pages_are_cut_too(spark, tmp_path):
+    rows = [(1, "a.txt", "one\n\ntwo", "text"), (2, "b.pdf", "Page 1 of 2\n\nthree", "page"), (3, "c.txt", "four", None), (4, "d.pdf", None, "page")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string, doc_type string").withColumns({"file_format": F.element_at(F.split("source", r"\."), -1), "physical_page": F.lit(1), "total_pages": F.lit(2)}).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = lambda name: {r["doc_id"] for r in chunking.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert ids("chunks") == {1, 2, 3}
+    for name in ("paragraphs", "blank_line_clean", "chunk_ids_md5", "filename_prefix"):
+        assert (ids(name), ids(f"page_{name}")) == ({1}, {2, 3})
+    cleaned = {r["doc_id"]: r["text_md5"] for r in chunking.QUERIES["page_blank_line_clean"](spark, str(tmp_path)).collect()}
+    assert cleaned[2] == hashlib.md5(b"three").hexdigest()
