@@ -7,13 +7,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.functions.scalars import chunk_id
+from kbspark.operators import routes
+from kbspark.operators.routes import PAGE_LINES, ROWS, STOPS, windows  # noqa: F401
 from kbspark.sources.tables import table
 
-#: Characters of a piece, of the overlap of neighbours, and below which a piece takes in the next one; rows of a table's piece.
-SIZE, OVERLAP, SMALL, ROWS = 500, 50, 100, 15
-#: Where a piece may end, and lines that only mark a page.
-STOPS = "。！？\n"
-PAGE_LINES = [r"^【第.*页.*】$", r"^文档标注页码[:：].*$", r"^文件物理页码[:：].*$", r"^Page\s+\d+\s+of\s+\d+.*$", r"^第\d+页\([逻物]\).*$"]
+#: Characters of a piece, of the overlap of neighbours, and below which a piece takes in the next one.
+SIZE, OVERLAP, SMALL = 500, 50, 100
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -22,21 +21,6 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(parts).alias("n", "text"))
 
 
-def _windows(text: str, size: int, overlap: int) -> list[str]:
-    """Pieces of at most `size` characters; each ends after the last stop of its second half, and the next begins `overlap` before that end."""
-    if len(text) <= size:
-        return [text]
-    out, start = [], 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            stop = max(text.rfind(s, start + size // 2 + 1, end + 1) for s in STOPS)
-            end = stop + 1 if stop >= 0 else end
-        out.append(text[start:end].strip())
-        start = end - overlap
-    return [piece for piece in out if piece]
-
-
 def pieces(df: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """df with an array `pieces` of its text. A piece's end may come again as a last piece of its own, `overlap` long or shorter.
 
@@ -47,7 +31,7 @@ def pieces(df: DataFrame, text: str = "text", size: int = SIZE, overlap: int = O
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _windows(t, size, overlap))
+        return texts.map(lambda t: None if t is None else windows(t, size, overlap))
 
     return df.withColumn("pieces", cut(text))
 
@@ -62,11 +46,24 @@ def merge_small(texts: Column, least: int = SMALL) -> Column:
 
 
 def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = SMALL) -> DataFrame:
-    """The pieces of each document in order: doc_id, source, n, text, id. Paragraphs, long ones cut by size, short ones merged."""
-    parts = paragraphs(docs).select("doc_id", "n", "text")
-    sized = pieces(parts, size=size, overlap=overlap).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "pieces"))).alias("ps"))
-    merged = sized.select("doc_id", F.posexplode(merge_small(F.flatten("ps.pieces"), least)).alias("n", "text"))
-    return merged.join(docs.select("doc_id", "source"), "doc_id").select("doc_id", "source", "n", "text", chunk_id(F.col("source"), F.col("text")).alias("id"))
+    """The pieces of each document in order: doc_id, source, n, strategy, heading, is_table, text, id; cut as its file_format asks (operators/routes.py).
+
+    docs: doc_id, source, text; of file_format, doc_type, physical_page and total_pages those that are there. Each row is cut by itself, a page
+    too. Null and empty texts have no pieces.
+    """
+    if not 0 <= overlap < size // 2:
+        raise ValueError("the overlap must be less than half the size")
+
+    @F.pandas_udf("array<struct<strategy:string,heading:string,is_table:boolean,text:string>>")
+    def cut(texts: pd.Series, formats: pd.Series, kinds: pd.Series, page: pd.Series, pages: pd.Series) -> pd.Series:
+        whole = lambda x: None if pd.isna(x) else int(x)
+        rows = zip(texts, formats, kinds, page, pages, strict=True)
+        return pd.Series([[x[:4] for x in routes.cut(t, f, k, whole(p), whole(ps), size, overlap, least)] for t, f, k, p, ps in rows], dtype=object)
+
+    told = lambda name, kind: (F.col(name) if name in docs.columns else F.lit(None)).cast(kind)
+    parts = cut("text", F.lower(told("file_format", "string")), told("doc_type", "string"), told("physical_page", "int"), told("total_pages", "int"))
+    found = docs.filter("text IS NOT NULL").select("doc_id", "source", F.posexplode(parts).alias("n", "x")).select("doc_id", "source", "n", "x.*")
+    return found.withColumn("id", chunk_id(F.col("source"), F.col("text")))
 
 
 def without_page_marks(text: Column) -> Column:
@@ -133,7 +130,7 @@ _ON_TEXTS = {
 QUERIES = {
     **{name: lambda s, d, f=f: f(_docs(s, d)) for name, f in _ON_TEXTS.items()},
     **{f"page_{name}": lambda s, d, f=f: f(_pages(s, d)) for name, f in _ON_TEXTS.items()},
-    "chunks": lambda s, d: chunks(table(s, d, "documents", "doc_id", "source", "text")),
+    "chunks": lambda s, d: chunks(table(s, d, "documents", "doc_id", "source", "text", "file_format", "doc_type", "physical_page", "total_pages")),
 }
 _DOCS = "(SELECT * FROM documents WHERE doc_type <> 'page' AND text IS NOT NULL)"
 _PAGES = "(SELECT * FROM documents WHERE (doc_type = 'page' OR doc_type IS NULL) AND text IS NOT NULL)"
