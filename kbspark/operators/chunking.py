@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions.scalars import chunk_id
@@ -13,6 +13,10 @@ from kbspark.sources.tables import table
 
 #: Characters of a piece, of the overlap of neighbours, and below which a piece takes in the next one.
 SIZE, OVERLAP, SMALL = 500, 50, 100
+#: Names of columns that only count rows, and what is a number.
+COUNTING = ["id", "no", "no.", "#", "rank", "index", "idx", "序号", "编号", "代码", "code"]
+_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
+_COLUMN = ("source", "sheet", "col", "name")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -108,6 +112,54 @@ def sheet_summary(docs: DataFrame) -> DataFrame:
     return cells.filter("value != ''").groupBy("source", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sheet_cells(docs: DataFrame) -> DataFrame:
+    """The cells of all tables that are not empty: source, sheet (the table's head), col (from 0), name, doc_id, row_no, row, value, number (null where none)."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    heads = docs.filter(is_table(F.col("text"))).select("doc_id", "source", _cells(F.get(lines, F.lit(0))).alias("head"), F.filter(F.slice(lines, 3, F.greatest(F.size(lines), F.lit(1))), lambda x: F.contains(x, F.lit("|"))).alias("body"))
+    rows = heads.select("doc_id", "source", "head", F.posexplode("body").alias("at", "line")).select("doc_id", "source", "head", (F.col("at") + 1).cast("long").alias("row_no"), F.trim("line").alias("row"), F.posexplode(_cells(F.col("line"))).alias("col", "value"))
+    named = F.coalesce(F.nullif(F.get("head", F.col("col")), F.lit("")), F.concat(F.lit("列"), (F.col("col") + 1).cast("string")))
+    bare = F.regexp_replace("value", "[,$￥€]", "")
+    number = F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
+    return rows.filter("value != ''").select("source", F.array_join("head", "|").alias("sheet"), F.col("col").cast("long").alias("col"), named.alias("name"), "doc_id", "row_no", "row", "value", number.alias("number"))
+
+
+def sheet_columns(cells: DataFrame) -> DataFrame:
+    """What each column of a file's tables with the same head is: source, sheet, col, name, filled, numbers, different, kind.
+
+    numeric: 80 % are numbers, of more than 10 values, that do not just count rows; categorical: 2 to 30 values, at most half as many as cells; else other.
+    """
+    values = cells.groupBy(*_COLUMN, "value", "number").agg(F.count(F.lit(1)).alias("n"))
+    counted = values.groupBy(*_COLUMN).agg(
+        F.sum("n").alias("filled"), F.sum(F.when(F.col("number").isNotNull(), F.col("n")).otherwise(0)).alias("numbers"), F.count(F.lit(1)).alias("different"), F.count_distinct("number").alias("values"),
+        F.coalesce(F.bool_and(F.col("number") == F.floor("number")), F.lit(False)).alias("whole"), (F.max("number") - F.min("number") + 1).alias("span"),
+    )
+    counting = F.lower("name").isin(*COUNTING) | (F.col("whole") & (F.col("values") == F.col("numbers")) & (F.col("span") == F.col("numbers")))
+    numeric = F.col("numbers") * 5 >= F.col("filled") * 4
+    kind = F.when(numeric, F.when((F.col("values") > 10) & ~F.coalesce(counting, F.lit(False)), "numeric").otherwise("other")).when(F.col("different").between(2, 30) & (F.col("different") * 2 <= F.col("filled")), "categorical").otherwise("other")
+    return counted.select(*_COLUMN, "filled", "numbers", "different", kind.alias("kind"))
+
+
+def _of_kind(cells: DataFrame, kind: str) -> DataFrame:
+    columns = sheet_columns(cells).filter((F.col("kind") == kind) & (F.lit(kind != "numeric") | (F.col("numbers") >= 4)))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in _COLUMN]
+    return cells.alias("a").join(columns.alias("b"), same, "leftsemi")
+
+
+def sheet_categories(cells: DataFrame) -> DataFrame:
+    """How often each value of a categorical column is there: source, sheet, col, name, value, n."""
+    return _of_kind(cells, "categorical").groupBy(*_COLUMN, "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sheet_extremes(cells: DataFrame, most: int = 3) -> DataFrame:
+    """The rows with the greatest and least numbers of a numeric column of four or more: source, sheet, col, name, side, place, number, doc_id, row_no, row."""
+    held = _of_kind(cells, "numeric").filter("number IS NOT NULL")
+    sides = []
+    for side, order in (("top", [F.desc("number"), F.asc("doc_id"), F.asc("row_no")]), ("bottom", [F.asc("number"), F.desc("doc_id"), F.desc("row_no")])):
+        placed = held.withColumn("place", F.row_number().over(Window.partitionBy(*_COLUMN).orderBy(*order))).filter(F.col("place") <= most)
+        sides.append(placed.select(*_COLUMN, F.lit(side).alias("side"), F.col("place").cast("long").alias("place"), "number", "doc_id", "row_no", "row"))
+    return sides[0].unionByName(sides[1])
+
+
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", "doc_id", "source", "text", "doc_type").filter("doc_type != 'page'")
 
@@ -117,6 +169,10 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", "doc_id", "source", "text", "doc_type").filter("doc_type = 'page' OR doc_type IS NULL")
 
 
+def _all_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return sheet_cells(table(spark, folder, "documents", "doc_id", "source", "text"))
+
+
 _ON_TEXTS = {
     "paragraphs": lambda docs: paragraphs(docs).select("doc_id", F.col("n").cast("long").alias("n"), F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("chars")),
     "blank_line_clean": lambda docs: docs.filter("text IS NOT NULL").select("doc_id", F.md5(without_page_marks(F.col("text"))).alias("text_md5")),
@@ -130,6 +186,9 @@ _ON_TEXTS = {
 QUERIES = {
     **{name: lambda s, d, f=f: f(_docs(s, d)) for name, f in _ON_TEXTS.items()},
     **{f"page_{name}": lambda s, d, f=f: f(_pages(s, d)) for name, f in _ON_TEXTS.items()},
+    "sheet_columns": lambda s, d: sheet_columns(_all_cells(s, d)),
+    "sheet_categories": lambda s, d: sheet_categories(_all_cells(s, d)),
+    "sheet_extremes": lambda s, d: sheet_extremes(_all_cells(s, d)),
     "chunks": lambda s, d: chunks(table(s, d, "documents", "doc_id", "source", "text", "file_format", "doc_type", "physical_page", "total_pages")),
 }
 _DOCS = "(SELECT * FROM documents WHERE doc_type <> 'page' AND text IS NOT NULL)"
@@ -154,3 +213,19 @@ SELECT doc_id, n, md5(array_to_string(list_concat(ls[1:2], ls[3 + n * {ROWS}: 2
     "filename_prefix": f"SELECT doc_id, md5('【文档: ' || source || '】' || chr(10) || text) AS text_md5 FROM {_DOCS}",
 }
 SQL |= {f"page_{name}": sql.replace(_DOCS, _PAGES) for name, sql in SQL.items()}
+_SHEETS = f"""r AS (SELECT doc_id, source, {_CELL("ls[1]")} AS h, list_filter(ls[3:], lambda x: contains(x, '|')) AS body FROM {_TABLED.replace(_DOCS, "(SELECT * FROM documents WHERE text IS NOT NULL)")}),
+l AS (SELECT doc_id, source, h, unnest(body) AS line, generate_subscripts(body, 1) AS row_no FROM r), v AS (SELECT *, {_CELL("line")} AS vs FROM l),
+x AS (SELECT doc_id, source, h, row_no, trim(line) AS row, unnest(vs) AS value, generate_subscripts(vs, 1) - 1 AS col FROM v),
+c AS (SELECT source, array_to_string(h, '|') AS sheet, col, coalesce(nullif(h[col + 1], ''), '列' || (col + 1)) AS name, doc_id, row_no, row, value,
+CASE WHEN regexp_matches(regexp_replace(value, '[,$￥€]', '', 'g'), '{_NUMBER}') THEN try_cast(regexp_replace(value, '[,$￥€]', '', 'g') AS DOUBLE) END AS number FROM x WHERE value <> ''),
+k AS (SELECT source, sheet, col, name, count(*) AS filled, count(number) AS numbers, count(DISTINCT value) AS different, count(DISTINCT number) AS vals, bool_and(number = floor(number)) AS whole, max(number) - min(number) + 1 AS span FROM c GROUP BY ALL),
+kinds AS (SELECT source, sheet, col, name, filled, numbers, different, CASE WHEN numbers >= 0.8 * filled THEN CASE WHEN vals > 10 AND NOT (lower(name) IN ({", ".join(f"'{w}'" for w in COUNTING)}) OR (whole AND vals = numbers AND span = numbers)) THEN 'numeric' ELSE 'other' END
+WHEN different BETWEEN 2 AND 30 AND different <= 0.5 * filled THEN 'categorical' ELSE 'other' END AS kind FROM k),
+m AS (SELECT c.*, kind, numbers FROM c JOIN kinds ON c.source IS NOT DISTINCT FROM kinds.source AND c.sheet = kinds.sheet AND c.col = kinds.col AND c.name = kinds.name),
+p AS (SELECT *, row_number() OVER (PARTITION BY source, sheet, col, name ORDER BY number DESC, doc_id, row_no) AS top, row_number() OVER (PARTITION BY source, sheet, col, name ORDER BY number, doc_id DESC, row_no DESC) AS bottom FROM m WHERE kind = 'numeric' AND numbers >= 4 AND number IS NOT NULL)"""
+SQL |= {
+    "sheet_columns": f"WITH {_SHEETS} SELECT * FROM kinds",
+    "sheet_categories": f"WITH {_SHEETS} SELECT source, sheet, col, name, value, count(*) AS n FROM m WHERE kind = 'categorical' GROUP BY ALL",
+    "sheet_extremes": f"""WITH {_SHEETS} SELECT source, sheet, col, name, 'top' AS side, top AS place, number, doc_id, row_no, row FROM p WHERE top <= 3
+UNION ALL SELECT source, sheet, col, name, 'bottom', bottom, number, doc_id, row_no, row FROM p WHERE bottom <= 3""",
+}

@@ -193,3 +193,14 @@ def test_pages_are_cut_too(spark, tmp_path):
         assert (ids(name), ids(f"page_{name}")) == ({1}, {2, 3})
     cleaned = {r["doc_id"]: r["text_md5"] for r in chunking.QUERIES["page_blank_line_clean"](spark, str(tmp_path)).collect()}
     assert cleaned[2] == hashlib.md5(b"three").hexdigest()
+
+
+def test_sheets_read_every_column(spark):
+    body = "\n".join(f"| {i} | {'ab'[i % 2]} | ${i * i},000 | {'x' * i} |" for i in range(1, 13))
+    docs = spark.createDataFrame([(1, "f", f"| id | team | pay | note |\n|--|--|--|--|\n{body}"), (2, None, "| a |\n|--|\n| 1 |"), (3, "f", None)], "doc_id int, source string, text string")
+    cells = chunking.sheet_cells(docs)
+    kinds = {(r["source"], r["name"]): (r["filled"], r["kind"]) for r in chunking.sheet_columns(cells).collect()}
+    assert kinds == {("f", "id"): (12, "other"), ("f", "team"): (12, "categorical"), ("f", "pay"): (12, "numeric"), ("f", "note"): (12, "other"), (None, "a"): (1, "other")}
+    assert {(r["name"], r["value"]): r["n"] for r in chunking.sheet_categories(cells).collect()} == {("team", "a"): 6, ("team", "b"): 6}
+    ends = {(r["side"], r["place"]): (r["number"], r["row_no"]) for r in chunking.sheet_extremes(cells).collect()}
+    assert ends == {("top", 1): (144000.0, 12), ("top", 2): (121000.0, 11), ("top", 3): (100000.0, 10), ("bottom", 1): (1000.0, 1), ("bottom", 2): (4000.0, 2), ("bottom", 3): (9000.0, 3)}
