@@ -108,7 +108,7 @@ def leaked_items(items: DataFrame, docs: DataFrame, share: float = SHARE, block_
 
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                batch = batch[batch["text"].str.len() >= 2 * WIDTH - 1]
+                batch = batch[batch["text"].str.len() >= WIDTH]  # a Chinese character is a token
                 bodies, ids, rows = batch["text"].tolist(), batch["doc_id"].tolist(), []
                 last, held = -1, set()
                 for item, k in sorted(index.value.candidates(bodies), key=lambda p: (p[1], p[0])):

@@ -65,3 +65,10 @@ def test_coverage():
     held = lambda t: {tuple(t[k : k + WIDTH]) for k in range(len(t) - WIDTH + 1)}
     assert coverage(item, held(item)) == 1 and coverage(item, set()) == 0
     assert coverage(item, held(item[5:25])) == 0.5 and coverage(item, held(item[:10]) | held(item[30:])) == 0.5
+
+
+def test_short_chinese_documents_hold_half_of_an_item(spark):
+    item = "".join(chr(0x4E00 + 7 * k) for k in range(32))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item[:16]), (2, item[4:21]), (3, item[:15]), (4, item[:9])], "doc_id long, text string")
+    assert {r["doc_id"] for r in leaked_items(items, docs).collect()} == {1, 2}
