@@ -16,6 +16,8 @@ SIZE, OVERLAP, SMALL = 500, 50, 100
 #: Names of columns that only count rows, and what is a number.
 COUNTING = ["id", "no", "no.", "#", "rank", "index", "idx", "序号", "编号", "代码", "code"]
 _NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
+#: A table within a text: a line with |, one of dashes, and the lines with | that follow.
+_TABLE = r"(?m)^[^\n]*\|[^\n]*\n[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t\r]*(?:\n[^\n]*\|[^\n]*)*"
 _COLUMN = ("source", "sheet", "col", "name")
 
 
@@ -105,6 +107,12 @@ def table_pieces(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     return tabled.select("doc_id", F.posexplode(parts).alias("n", "part")).select("doc_id", "n", F.array_join("part", "\n").alias("text"))
 
 
+def inner_tables(docs: DataFrame) -> DataFrame:
+    """The tables below an introduction, question or heading: doc_id (with table_no, from 1), source, text; of texts that are no table from the start."""
+    found = F.regexp_extract_all("text", F.lit(_TABLE), F.lit(0))
+    return docs.filter(~is_table(F.col("text"))).select("doc_id", "source", F.posexplode(found).alias("at", "text")).select(F.struct("doc_id", (F.col("at") + 1).cast("long").alias("table_no")).alias("doc_id"), "source", "text")
+
+
 def sheet_summary(docs: DataFrame) -> DataFrame:
     """The values of the first column of all tables and how often they are there: source, value, n; by the file."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
@@ -173,6 +181,10 @@ def _all_cells(spark: SparkSession, folder: str) -> DataFrame:
     return sheet_cells(table(spark, folder, "documents", "doc_id", "source", "text"))
 
 
+def _inner(spark: SparkSession, folder: str) -> DataFrame:
+    return inner_tables(table(spark, folder, "documents", "doc_id", "source", "text"))
+
+
 _ON_TEXTS = {
     "paragraphs": lambda docs: paragraphs(docs).select("doc_id", F.col("n").cast("long").alias("n"), F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("chars")),
     "blank_line_clean": lambda docs: docs.filter("text IS NOT NULL").select("doc_id", F.md5(without_page_marks(F.col("text"))).alias("text_md5")),
@@ -186,6 +198,8 @@ _ON_TEXTS = {
 QUERIES = {
     **{name: lambda s, d, f=f: f(_docs(s, d)) for name, f in _ON_TEXTS.items()},
     **{f"page_{name}": lambda s, d, f=f: f(_pages(s, d)) for name, f in _ON_TEXTS.items()},
+    "inner_row_sentences": lambda s, d: table_rows(_inner(s, d)).select("doc_id.*", "row_no", "sentence"),
+    "inner_table_pieces": lambda s, d: table_pieces(_inner(s, d)).select("doc_id.*", F.col("n").cast("long").alias("n"), F.md5("text").alias("text_md5")),
     "sheet_columns": lambda s, d: sheet_columns(_all_cells(s, d)),
     "sheet_categories": lambda s, d: sheet_categories(_all_cells(s, d)),
     "sheet_extremes": lambda s, d: sheet_extremes(_all_cells(s, d)),
@@ -213,6 +227,13 @@ SELECT doc_id, n, md5(array_to_string(list_concat(ls[1:2], ls[3 + n * {ROWS}: 2
     "filename_prefix": f"SELECT doc_id, md5('【文档: ' || source || '】' || chr(10) || text) AS text_md5 FROM {_DOCS}",
 }
 SQL |= {f"page_{name}": sql.replace(_DOCS, _PAGES) for name, sql in SQL.items()}
+_ANY = "(SELECT * FROM documents WHERE text IS NOT NULL)"
+_FOUND = f"""(SELECT {{'doc_id': doc_id, 'table_no': pos}} AS doc_id, source, text FROM (SELECT doc_id, source, unnest(ts) AS text, generate_subscripts(ts, 1) AS pos FROM
+(SELECT doc_id, source, regexp_extract_all(text, '{_TABLE}') AS ts FROM {_ANY} WHERE doc_id NOT IN (SELECT doc_id FROM {_TABLED.replace(_DOCS, _ANY)}))))"""
+SQL |= {
+    "inner_row_sentences": f"SELECT doc_id.doc_id AS doc_id, doc_id.table_no AS table_no, row_no, sentence FROM ({SQL['row_sentences'].replace(_DOCS, _FOUND)})",
+    "inner_table_pieces": f"SELECT doc_id.doc_id AS doc_id, doc_id.table_no AS table_no, n, text_md5 FROM ({SQL['table_pieces'].replace(_DOCS, _FOUND)})",
+}
 _SHEETS = f"""r AS (SELECT doc_id, source, {_CELL("ls[1]")} AS h, list_filter(ls[3:], lambda x: contains(x, '|')) AS body FROM {_TABLED.replace(_DOCS, "(SELECT * FROM documents WHERE text IS NOT NULL)")}),
 l AS (SELECT doc_id, source, h, unnest(body) AS line, generate_subscripts(body, 1) AS row_no FROM r), v AS (SELECT *, {_CELL("line")} AS vs FROM l),
 x AS (SELECT doc_id, source, h, row_no, trim(line) AS row, unnest(vs) AS value, generate_subscripts(vs, 1) - 1 AS col FROM v),

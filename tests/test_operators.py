@@ -204,3 +204,9 @@ def test_sheets_read_every_column(spark):
     assert {(r["name"], r["value"]): r["n"] for r in chunking.sheet_categories(cells).collect()} == {("team", "a"): 6, ("team", "b"): 6}
     ends = {(r["side"], r["place"]): (r["number"], r["row_no"]) for r in chunking.sheet_extremes(cells).collect()}
     assert ends == {("top", 1): (144000.0, 12), ("top", 2): (121000.0, 11), ("top", 3): (100000.0, 10), ("bottom", 1): (1000.0, 1), ("bottom", 2): (4000.0, 2), ("bottom", 3): (9000.0, 3)}
+
+
+def test_tables_below_an_introduction(spark):
+    docs = spark.createDataFrame([(1, "f", "Intro | 1.\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\nText\n| c |\n|--|\n| 3 |\nend"), (2, "f", "| a |\n|--|\n| 1 |"), (3, "f", None), (4, "f", "no | table\ntext")], "doc_id int, source string, text string")
+    found = chunking.table_rows(chunking.inner_tables(docs)).select("doc_id.*", "row_no", "sentence").orderBy("table_no").collect()
+    assert [tuple(r) for r in found] == [(1, 1, 1, "a: 1; b: 2"), (1, 2, 1, "c: 3")]
