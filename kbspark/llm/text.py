@@ -12,7 +12,8 @@ NO_VALUE = [
     "无", "空", "暂无", "待定", "无内容", "无数据", "不适用", "空白", "未填写", "暂缺",
 ]
 
-_TAG = r"(?s)<!--.*?-->|</?[A-Za-z][^<>]{0,200}>|&(nbsp|#160|lt|gt|amp|quot|zwnj|zwj|emsp|ensp);"
+_TAG = r"(?s)<!--.*?-->|</?[A-Za-z][^<>]*>|&(nbsp|#160|lt|gt|amp|quot|zwnj|zwj|emsp|ensp);"
+_TAG_SQL = _TAG.replace("[^<>]*>", "[^<>]{0,200}>")  # the twin keeps its limit
 _FENCE = r"```[A-Za-z0-9_+-]*"
 _NAMED = r"!?\[\s*\]\(\s*\)"
 
@@ -32,7 +33,7 @@ def speaker(role: Column) -> Column:
 
 def is_empty_sql(text: str) -> str:
     """The same rule in DuckDB's SQL."""
-    bare = f"regexp_replace(regexp_replace(regexp_replace({text}, '{_TAG}', ' ', 'g'), '{_FENCE}', ' ', 'g'), '{_NAMED}', ' ', 'g')"
+    bare = f"regexp_replace(regexp_replace(regexp_replace({text}, '{_TAG_SQL}', ' ', 'g'), '{_FENCE}', ' ', 'g'), '{_NAMED}', ' ', 'g')"
     core = rf"lower(regexp_replace({bare}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'))"
     words = ", ".join(f"'{w}'" for w in NO_VALUE)
     return f"({text} IS NULL OR {core} = '' OR {core} IN ({words}))"
