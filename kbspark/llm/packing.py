@@ -34,7 +34,7 @@ class Limits(NamedTuple):
 
     docs_per_token: float = 1 / 32
     cost_share: float = 0.5
-    cost_slack: float = 0.05
+    cost_slack: float = 0.1
 
     def docs(self, capacity: int) -> int:
         return max(1, int(capacity * self.docs_per_token))
