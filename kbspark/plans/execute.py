@@ -40,24 +40,40 @@ class Refused(Exception):
         self.verdict = verdict
 
 
+def _in_session(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """The same rows as a DataFrame of another session of the same application."""
+    plan = df._jdf.queryExecution().analyzed()
+    return DataFrame(spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
+
+
+def _own_session(spark: SparkSession) -> SparkSession:
+    """A session with the same settings and no views."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    return own
+
+
 def guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame], who: Principal | None = None) -> DataFrame:
     """The statement's result over `tables`, the only ones it can name. Raises Refused.
 
-    A statement that refers to a column denied to the caller is refused, not masked; it then runs over tables without
-    these columns.
+    What runs is the text that was checked. The tables are views of a session of its own, so callers never meet each
+    other's, and none stays behind. A statement that refers to a column denied to the caller is refused, not masked; it
+    then runs over tables without these columns.
     """
     verdict = check(spark, sql, set(tables))
     if not verdict.ok:
         raise Refused(verdict)
-    text = sql.strip().strip("`").strip().rstrip(";")
+    own = _own_session(spark)
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+        _in_session(df, own).createOrReplaceTempView(name)
     if who and who.denied:
-        if found := denied_columns(spark, text, set(who.denied)):
+        if found := denied_columns(own, verdict.text, set(who.denied)):
             raise Refused(Verdict(False, f"column {', '.join(sorted(found))} is not allowed", "forbidden_column"))
         for name, df in tables.items():
-            pruned(df, who).createOrReplaceTempView(name)
-    return spark.sql(text)
+            _in_session(pruned(df, who), own).createOrReplaceTempView(name)
+    return _in_session(own.sql(verdict.text), spark)
 
 
 class Result(NamedTuple):

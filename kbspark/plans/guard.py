@@ -9,11 +9,13 @@ from typing import NamedTuple
 from pyspark.errors import ParseException
 from pyspark.sql import SparkSession
 
-#: The parts of a parsed plan that read and never write, run or look at files.
+#: The parts of a parsed plan that read and never write, run or look at files. Whatever is not named here is refused.
 NODES = {
-    "Project", "Filter", "Aggregate", "Sort", "Join", "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "GlobalLimit", "LocalLimit", "Offset", "Distinct",
-    "Union", "Intersect", "Except", "WithWindowDefinition", "UnresolvedSubqueryColumnAliases", "OneRowRelation", "LateralJoin", "UnresolvedOrderByAll", "WindowExpression",
+    "Project", "Filter", "Aggregate", "Sort", "Join", "LateralJoin", "SubqueryAlias", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Intersect", "Except", "Generate", "Pivot", "UnresolvedPivot", "Unpivot",
+    "WithWindowDefinition", "OneRowRelation", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "UnresolvedSubqueryColumnAliases", "UnresolvedOrderByAll",
 }
+#: Functions that make rows, allowed in LATERAL VIEW.
+GENERATORS = {"explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack"}
 #: Parts that may stand within a statement but not be it.
 INNER = {"Union", "Intersect", "Except", "UnresolvedRelation"}
 #: Functions that a statement may call.
@@ -23,16 +25,23 @@ FUNCTIONS = {
     "year", "month", "day", "quarter", "week", "hour", "minute", "second", "date_trunc", "date_part", "extract", "to_date", "date", "date_add", "date_sub", "datediff", "date_diff", "date_format", "months_between", "add_months", "last_day",
     "row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile", "lag", "lead", "first_value", "last_value", "nth_value", "first", "last", "any_value", "count_if", "bool_and", "bool_or",
     "stddev", "stddev_samp", "stddev_pop", "variance", "var_samp", "var_pop", "corr", "median", "percentile", "percentile_cont", "percentile_disc", "mode", "string_agg", "listagg", "array_agg", "grouping", "grouping_id", "cube", "rollup",
-    "cast", "bigint", "int", "double", "decimal", "string", "mod", "div", "make_date", "size", "array_contains", "struct", "to_json",
+    "cast", "bigint", "int", "double", "decimal", "string", "mod", "div", "make_date", "size", "array_contains", "struct", "array", "named_struct", "to_json",
 }
 
 
 class Verdict(NamedTuple):
-    """Whether a statement may run; if not, why, and the kind of reason for metrics."""
+    """Whether a statement may run; if not, why, and the kind of reason for metrics. `text` is what was checked, and the only text to run."""
 
     ok: bool
     reason: str = ""
     category: str = ""
+    text: str = ""
+
+
+def plain_statement(sql: str) -> str:
+    """A statement without the code fence that models put around it (with `sql` or nothing behind the opening) and without a last semicolon."""
+    fenced = re.fullmatch(r"\s*```(?:sql)?[ \t]*\n(.*?)\s*```\s*", sql, re.DOTALL | re.IGNORECASE)
+    return (fenced[1] if fenced else sql).strip().rstrip(";").strip()
 
 
 def _each(seq) -> Iterator:
@@ -62,8 +71,8 @@ def _plans(plan) -> Iterator[tuple[object, list]]:
 
 
 def check(spark: SparkSession, sql: str, views: set[str]) -> Verdict:
-    """Whether `sql` is one SELECT over `views` with allowed functions only."""
-    text = re.sub(r"^\s*```\w*\s*|\s*```\s*$", "", sql).strip().rstrip(";").strip()
+    """Whether `sql` is one SELECT over `views` with allowed parts and functions only; with the text that was looked at."""
+    text = plain_statement(sql)
     if not text:
         return Verdict(False, "empty statement", "empty")
     try:
@@ -82,10 +91,12 @@ def check(spark: SparkSession, sql: str, views: set[str]) -> Verdict:
         return Verdict(False, f"the statement is no SELECT but {top.nodeName()}", "not_select")
     for part, expressions in parts:
         name = part.nodeName()
-        if name not in NODES and not name.startswith("Unresolved") or name in ("UnresolvedTableValuedFunction", "UnresolvedExecuteImmediate", "UnresolvedInlineTable"):
+        if name not in NODES:
             return Verdict(False, f"{name} is not allowed", "forbidden_node")
         if name == "UnresolvedRelation":
             table = part.tableName().replace("`", "").lower()
+            if part.isStreaming():
+                return Verdict(False, f"{table} as a stream is not allowed", "forbidden_node")
             if table not in known:
                 return Verdict(False, f"unknown table {table}", "forbidden_table")
         for e in expressions:
@@ -93,7 +104,9 @@ def check(spark: SparkSession, sql: str, views: set[str]) -> Verdict:
                 called = ".".join(_each(e.nameParts())).lower()
                 if called not in FUNCTIONS:
                     return Verdict(False, f"function {called} is not allowed", "forbidden_function")
-    return Verdict(True)
+            if e.getClass().getSimpleName() == "UnresolvedGenerator" and e.name().unquotedString().lower() not in GENERATORS:
+                return Verdict(False, f"function {e.name().unquotedString()} is not allowed", "forbidden_function")
+    return Verdict(True, text=text)
 
 
 def denied_columns(spark: SparkSession, sql: str, denied: set[str]) -> set[str]:
