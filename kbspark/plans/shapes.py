@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.operators.events import fold_events
 from kbspark.plans.execute import MAX_ROWS, guarded, masked, scoped
 from kbspark.plans.identity import principal
 from kbspark.sources.tables import table
@@ -53,6 +54,23 @@ STATEMENTS = {
     "rollup_totals": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "like_between": "SELECT count(*) AS n FROM part WHERE p_name LIKE '%ring%' AND p_size BETWEEN 5 AND 25",
     "month_trunc": "SELECT cast(date_trunc('month', l_shipdate) AS date) AS month, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1",
+    "right_join": "SELECT n_name, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_name",
+    "using_join": "SELECT n_name, count(*) AS n FROM nation JOIN (SELECT c_nationkey AS n_nationkey FROM customer) AS c USING (n_nationkey) GROUP BY n_name",
+    "natural_join": "SELECT n_regionkey, count(*) AS n FROM nation NATURAL JOIN (SELECT s_nationkey AS n_nationkey, s_suppkey FROM supplier) AS s GROUP BY n_regionkey",
+    "lateral_join": "SELECT n_name, most FROM nation, LATERAL (SELECT max(c_acctbal) AS most FROM customer WHERE c_nationkey = n_nationkey) AS x",
+    "limit_offset": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5",
+    "cube_totals": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+    "ntile": "SELECT c_nationkey, tile, count(*) AS n, max(c_acctbal) AS most FROM (SELECT c_nationkey, c_acctbal, cast(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS bigint) AS tile FROM customer) AS t GROUP BY c_nationkey, tile",
+    "edge_values": "SELECT DISTINCT o_custkey, first_value(o_orderkey) OVER w AS first_order, last_value(o_orderkey) OVER w AS last_order, nth_value(o_orderkey, 2) OVER w AS second_order FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+    "range_frame": "SELECT event_type, day, cast(sum(n) OVER (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL '6' DAY PRECEDING AND CURRENT ROW) AS bigint) AS week FROM (SELECT event_type, cast(ts AS date) AS day, count(*) AS n FROM events GROUP BY 1, 2) AS t",
+    "rank_shares": "SELECT s_nationkey, s_suppkey, cast(dense_rank() OVER w AS bigint) AS place, round(percent_rank() OVER w, 6) AS share, round(cume_dist() OVER w, 6) AS upto FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal)",
+}
+#: Statements that DuckDB words otherwise: Spark's, and DuckDB's.
+WORDED = {
+    "integer_division": ("SELECT o_custkey DIV 7 AS part, count(*) AS n, sum(o_orderkey) DIV count(*) AS mean FROM orders GROUP BY 1", "SELECT o_custkey // 7 AS part, count(*) AS n, CAST(sum(o_orderkey) // count(*) AS BIGINT) AS mean FROM orders GROUP BY 1"),
+    "row_json": ("SELECT c_custkey, to_json(struct(c_custkey, c_name, c_mktsegment)) AS row FROM customer", "SELECT c_custkey, CAST(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_mktsegment': c_mktsegment}) AS VARCHAR) AS row FROM customer"),
+    "pivot": ("SELECT * FROM (SELECT l_returnflag, l_linestatus FROM lineitem) PIVOT (count(*) FOR l_linestatus IN ('O' AS open, 'F' AS filled))", "SELECT l_returnflag, nullif(count(*) FILTER (l_linestatus = 'O'), 0) AS open, nullif(count(*) FILTER (l_linestatus = 'F'), 0) AS filled FROM lineitem GROUP BY 1"),
 }
 
 
@@ -74,7 +92,7 @@ def q_tenant_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_masked(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "sql_audit", "id", "actor", "tenant_id", "ok").dropDuplicates(["id"])
+    rows = fold_events(table(spark, folder, "sql_audit", "id", "loaded_at", "actor", "tenant_id"), "id", "loaded_at", ["actor", "tenant_id"])
     return masked(rows, {"ACTOR"}).groupBy("actor", "tenant_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -83,11 +101,12 @@ def q_probe(spark: SparkSession, folder: str) -> DataFrame:
     return guarded(spark, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey", {"orders": table(spark, folder, "orders")}).limit(MAX_ROWS + 1)
 
 
-QUERIES = {"headline": headline, **{f"shape_{n}": _statement(s) for n, s in STATEMENTS.items()}, "tenant_rows": q_tenant_rows, "masked_columns": q_masked, "truncation_probe": q_probe}
+QUERIES = {"headline": headline, **{f"shape_{n}": _statement(s) for n, s in STATEMENTS.items()}, **{f"shape_{n}": _statement(s) for n, (s, _) in WORDED.items()}, "tenant_rows": q_tenant_rows, "masked_columns": q_masked, "truncation_probe": q_probe}
 SQL = {
     "headline": "SELECT count(*) FILTER (c_mktsegment = 'BUILDING') AS building, count(*) FILTER (c_mktsegment = 'MACHINERY') AS machinery, count(*) FILTER (c_mktsegment = 'BUILDING') - count(*) FILTER (c_mktsegment = 'MACHINERY') AS difference FROM customer",
     **{f"shape_{n}": s for n, s in STATEMENTS.items()},
+    **{f"shape_{n}": s for n, (_, s) in WORDED.items()},
     "tenant_rows": "SELECT doc_type, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT tenant_id) AS tenants FROM documents WHERE tenant_id IS NULL OR tenant_id = 'tn-harvel' GROUP BY doc_type",
-    "masked_columns": "SELECT CASE WHEN actor IS NOT NULL THEN '***' END AS actor, tenant_id, count(*) AS n FROM (SELECT * FROM sql_audit QUALIFY row_number() OVER (PARTITION BY id) = 1) GROUP BY 1, 2",
+    "masked_columns": "SELECT CASE WHEN actor IS NOT NULL THEN '***' END AS actor, tenant_id, count(*) AS n FROM (SELECT * FROM sql_audit QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1) GROUP BY 1, 2",
     "truncation_probe": f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT {MAX_ROWS + 1}",
 }
