@@ -4,139 +4,161 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kbspark.llm.shingles import shingle_hashes, tokens
+from kbspark.llm.shingles import shingle_hashes
+from kbspark.session import cut
 from kbspark.sources.tables import table
 
 #: Consecutive tokens in a shingle, tokens an item must have, and the share of them that must lie in common runs.
 WIDTH, LEAST_TOKENS, SHARE = 10, 30, 0.5
-#: Chance that a case with the fewest common shingles that a case can have is no candidate; sets the bins of a size class.
-MISS = 1e-4
-
-
-class SizeClass:
-    """MinHash parameters for items of `low` to 2 * low - 1 shingles: blocks of documents as long, and bins by MISS.
-
-    One-permutation MinHash: a block's shingles fall into `bins` by hash and each bin keeps its least; a block is a
-    candidate for an item where a bin holds the same hash for both. A case shares at least ceil(tokens * SHARE / WIDTH)
-    shingles, whatever the length of the document, as it is cut into blocks of the item's size; one of them is hidden
-    by a smaller one of its bin with a chance of at most 2 * low / bins.
+#: Chance that the weakest case of a size class is no candidate, and how many of its shingles its sketch keeps on average.
+MISS, KEPT = 1e-4, 16
+#: Hashes of a sketch of all items that are sent to every task (8 bytes each); beyond it documents meet them by a join.
+SENT = 4_000_000
+#: Candidate documents up to which their ids are sent to every task (8 bytes each); beyond it they meet by a join.
+SENT_IDS = 1_000_000
+#: Characters whose shingles a task holds at once, but for a longer text.
+CHARS = 4_000_000
+_SALTS = 16
+
+
+class SizeClass(NamedTuple):
+    """How items of `low` to 2 * low - 1 tokens are sketched.
+
+    A case shares at least `fewest` shingles with the document, as its tokens lie in runs of WIDTH or more. The sketch
+    of an item keeps the shingles whose hash is below `rate`, so that of the weakest case KEPT are left on average; a
+    document can hold the item only if it has `need` of those, but for a chance of MISS. Where the weakest case has no
+    more than KEPT shingles no smaller sketch finds all cases: it keeps all, and `need` is certain.
     """
 
-    def __init__(self, low: int) -> None:
-        self.low, self.block = low, 2 * low
-        fewest = math.ceil((low + WIDTH - 1) * SHARE / WIDTH)
-        self.bins = 1 << math.ceil(math.log2(self.block / MISS ** (1 / fewest)))
-
-    def signature(self, hashes: np.ndarray, block: np.ndarray) -> np.ndarray:
-        """Marks those hashes that are the least of their bin in their block."""
-        bin_of = hashes & np.uint64(self.bins - 1)
-        order = np.lexsort((hashes, bin_of, block))
-        first = np.ones(len(order), bool)
-        first[1:] = (bin_of[order][1:] != bin_of[order][:-1]) | (block[order][1:] != block[order][:-1])
-        least = np.zeros(len(order), bool)
-        least[order[first]] = True
-        return least
-
-
-class ItemIndex:
-    """Signatures of a block of items, by size class: sorted hashes, with the items that have them."""
-
-    def __init__(self, items: list[tuple[int, list[str]]]) -> None:
-        self.tokens = dict(items)
-        ids, texts = [i for i, _ in items], [" ".join(t) for _, t in items]
-        hashes, owner = shingle_hashes(texts, WIDTH)
-        sizes = np.bincount(owner, minlength=len(ids))
-        self.classes: list[tuple[SizeClass, np.ndarray, np.ndarray]] = []
-        for e in np.unique(np.log2(sizes[sizes > 0]).astype(int)):
-            of = SizeClass(1 << int(e))
-            mine = (sizes[owner] >= of.low) & (sizes[owner] < 2 * of.low)
-            h, o = hashes[mine], owner[mine]
-            least = of.signature(h, o)
-            order = np.argsort(h[least], kind="stable")
-            self.classes.append((of, h[least][order], np.array(ids)[o[least][order]]))
-
-    def candidates(self, texts: list[str]) -> set[tuple[int, int]]:
-        """Pairs of an item and the number of a text, one of whose blocks meets the item in a bin."""
-        hashes, owner = shingle_hashes(texts, WIDTH)
-        place = np.arange(len(hashes)) - np.searchsorted(owner, owner, side="left")
-        pairs: set[tuple[int, int]] = set()
-        for of, known, items in self.classes:
-            block = owner * (1 << 32) + place // of.block
-            hit = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
-            # A signature can only meet the items' in a block with one of their hashes; the others are left out unsorted.
-            near = np.isin(block, np.unique(block[hit]))
-            least = of.signature(hashes[near], block[near]) & hit[near]
-            met, texts_met = hashes[near][least], owner[near][least]
-            low, high = np.searchsorted(known, met, "left"), np.searchsorted(known, met, "right")
-            pairs.update((int(items[k]), int(t)) for a, b, t in zip(low, high, texts_met, strict=True) for k in range(a, b))
-        return pairs
-
-
-def coverage(item: list[str], text: set[tuple[str, ...]]) -> float:
-    """The share of the item's tokens in runs of WIDTH or more that are among the text's shingles."""
-    covered, upto = 0, 0
-    for k in range(len(item) - WIDTH + 1):
-        if tuple(item[k : k + WIDTH]) in text:
-            covered += k + WIDTH - max(k, upto)
-            upto = k + WIDTH
-    return covered / len(item)
-
-
-def leaked_items(items: DataFrame, docs: DataFrame, share: float = SHARE, block_tokens: int = 2_000_000) -> DataFrame:
+    low: int
+    fewest: int
+    rate: float
+    need: int
+
+
+def size_class(tokens: int, share: float = SHARE) -> SizeClass:
+    low = LEAST_TOKENS << max(0, int(math.log2(max(tokens, LEAST_TOKENS) / LEAST_TOKENS)))
+    fewest = max(1, math.ceil(math.ceil(low * share) / WIDTH))
+    rate = min(1.0, KEPT / fewest)
+    need, missed = 0, 0.0
+    while need < fewest:
+        missed += math.comb(fewest, need) * rate**need * (1 - rate) ** (fewest - need) if rate < 1 else 0.0
+        if missed > MISS:
+            break
+        need += 1
+    return SizeClass(low, fewest, rate, max(1, need))
+
+
+def _portions(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows of a batch, at most CHARS characters at once."""
+    ends = batch["text"].str.len().cumsum() // CHARS
+    for _, part in batch.groupby(ends.to_numpy(), sort=False):
+        yield part
+
+
+def _places(owner: np.ndarray) -> np.ndarray:
+    """The place of each shingle in its text."""
+    return np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
+
+
+def item_shingles(items: DataFrame, share: float = SHARE) -> DataFrame:
+    """The shingles of all items with enough tokens: item_id, tokens, need, at (place in the item), hash, kept (in the sketch). items: item_id, text."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in _portions(batch):
+                hashes, owner = shingle_hashes(part["text"].tolist(), WIDTH)
+                tokens = np.bincount(owner, minlength=len(part)) + WIDTH - 1
+                classes = [size_class(int(n), share) for n in tokens]
+                rate, need = np.array([c.rate for c in classes]), np.array([c.need for c in classes])
+                # An item that repeats itself keeps all, as its shingles are not drawn one by one.
+                different = np.bincount(np.unique(np.stack([owner.astype(np.uint64), hashes]), axis=1)[0].astype(np.int64), minlength=len(part))
+                rate = np.where(different + WIDTH - 1 < 0.9 * tokens, 1.0, rate)
+                kept = hashes.astype(np.float64) < rate[owner] * 2.0**64
+                own = pd.DataFrame({"item_id": part["item_id"].to_numpy()[owner], "tokens": tokens[owner], "need": need[owner], "at": _places(owner), "hash": hashes.view(np.int64), "kept": kept | (rate[owner] == 1)})
+                yield own[tokens[owner] >= LEAST_TOKENS]
+
+    return items.mapInPandas(build, "item_id long, tokens int, need int, at int, hash long, kept boolean")
+
+
+def document_shingles(docs: DataFrame, wanted: np.ndarray | None = None, below: float = 1.0) -> DataFrame:
+    """The different shingles of each document: doc_id, hash; only those among `wanted` (sorted), or with a hash below that share."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        among = sent.value
+        for batch in batches:
+            for part in _portions(batch[batch["text"].str.len() >= WIDTH]):  # a Chinese character is a token
+                hashes, owner = shingle_hashes(part["text"].tolist(), WIDTH)
+                if among is not None:
+                    on = among[np.minimum(np.searchsorted(among, hashes), len(among) - 1)] == hashes if len(among) else np.zeros(len(hashes), bool)
+                else:
+                    on = hashes.astype(np.float64) < below * 2.0**64 if below < 1 else np.ones(len(hashes), bool)
+                found = pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[owner[on]], "hash": hashes[on].view(np.int64)})
+                yield found.drop_duplicates()
+
+    return docs.mapInPandas(build, "doc_id long, hash long")
+
+
+def candidates(shingles: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of an item and a document whose sketches meet in as many places as the item needs: item_id, doc_id, met.
+
+    shingles: what item_shingles gives; docs: doc_id, text. A pair is looked at where the document has one of the
+    item's rarer shingles: as `need` of them must meet, the most frequent `need` - 1 tell nothing and are left out. So
+    a stock sentence that every document has makes no pairs.
+    """
+    sketch = shingles.filter("kept").groupBy("item_id", "hash").agg(F.count(F.lit(1)).alias("places"), F.first("need").alias("need"))
+    sketch = cut(sketch)
+    size = sketch.select("hash").distinct().count()
+    if size <= SENT:
+        wanted = np.sort(np.array([r["hash"] for r in sketch.select("hash").distinct().collect()], np.int64).view(np.uint64))
+        met = document_shingles(docs, wanted)
+    else:
+        met = document_shingles(docs).join(sketch.select("hash").distinct(), "hash", "left_semi")
+    met = cut(met)
+    often = met.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"))
+    order = W.partitionBy("item_id").orderBy(F.desc("docs"), "hash")
+    rare = sketch.join(often, "hash").withColumn("upto", F.sum("places").over(order)).filter("upto >= need").select("item_id", "hash", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    pairs = met.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int")).join(rare, ["hash", "salt"]).select("item_id", "doc_id").distinct()
+    held = pairs.join(met, "doc_id").join(sketch, ["item_id", "hash"])
+    return held.groupBy("item_id", "doc_id").agg(F.sum("places").alias("met"), F.first("need").alias("need")).filter("met >= need").select("item_id", "doc_id", "met")
+
+
+def coverage(shingles: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of each pair the share of the item's tokens that lie in runs that the document has: item_id, doc_id, coverage. Exact, by all shingles of both."""
+    pairs = cut(pairs.select("item_id", "doc_id"))
+    ids = pairs.select("doc_id").distinct()
+    near = docs.join(F.broadcast(ids) if pairs.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+    asked = shingles.join(pairs.select("item_id").distinct(), "item_id", "left_semi").select("item_id", "tokens", "at", "hash")
+    found = document_shingles(near).join(asked, "hash").join(pairs, ["item_id", "doc_id"])
+    covered = found.select("item_id", "doc_id", "tokens", F.explode(F.sequence("at", F.col("at") + WIDTH - 1)).alias("place"))
+    return covered.groupBy("item_id", "doc_id", "tokens").agg(F.count_distinct("place").alias("n")).select("item_id", "doc_id", (F.col("n") / F.col("tokens")).alias("coverage"))
+
+
+def leaked_items(items: DataFrame, docs: DataFrame, share: float = SHARE) -> DataFrame:
     """Every pair of an item and a document that holds at least `share` of it, with that share.
 
     items: item_id, text; docs: doc_id, text. Result: item_id, doc_id, coverage (double). Items of fewer than
-    LEAST_TOKENS tokens, null texts and null ids have no pair; repeated item rows are one (the greatest text of an id counts);
-    repeated documents each have their own row. Other columns are ignored; empty tables give an empty result.
+    LEAST_TOKENS tokens, null texts and null ids have no pair; repeated item rows are one (the greatest text of an id counts),
+    and so are repeated documents. Other columns are ignored; empty tables give an empty result.
 
-    The items go to the tasks in blocks of at most `block_tokens` tokens (a longer item alone), each block in its own
-    pass over the documents, so that what is broadcast is bounded however many items there are; an evaluation set
-    usually is one block. Documents are read where they lie, without a shuffle, and whole; candidates by size-partitioned
-    MinHash are verified by their exact shingles.
+    Candidates by size-partitioned MinHash (see SizeClass) are verified by the exact containment of their shingles.
+    Items are sketched in tasks; up to SENT hashes of their sketches, counted first, go to the tasks that read the
+    documents, where these lie and whole, so only shingles that some item has are shuffled. Beyond that documents and
+    sketches meet by a join. A text is read in one piece.
     """
-    spark = docs.sparkSession
     texts = items.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
-    result = None
-    for block in _item_blocks(texts, block_tokens):
-        index = spark.sparkContext.broadcast(ItemIndex(block))
-
-        def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                batch = batch[batch["text"].str.len() >= WIDTH]  # a Chinese character is a token
-                bodies, ids, rows = batch["text"].tolist(), batch["doc_id"].tolist(), []
-                last, held = -1, set()
-                for item, k in sorted(index.value.candidates(bodies), key=lambda p: (p[1], p[0])):
-                    if k != last:
-                        t = tokens(bodies[k])
-                        last, held = k, set(zip(*(t[j:] for j in range(WIDTH)), strict=False))
-                    rows.append((item, ids[k], coverage(index.value.tokens[item], held)))
-                yield pd.DataFrame([r for r in rows if r[2] >= share], columns=["item_id", "doc_id", "coverage"])
-
-        pairs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(search, "item_id long, doc_id long, coverage double")
-        result = pairs if result is None else result.unionByName(pairs)
-    return result if result is not None else spark.createDataFrame([], "item_id long, doc_id long, coverage double")
-
-
-def _item_blocks(texts: DataFrame, block_tokens: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items with enough tokens, in blocks; read one partition at a time."""
-    block, held = [], 0
-    for row in texts.toLocalIterator():
-        t = tokens(row["text"])
-        if len(t) < LEAST_TOKENS:
-            continue
-        if block and held + len(t) > block_tokens:
-            yield block
-            block, held = [], 0
-        block.append((row["item_id"], t))
-        held += len(t)
-    if block:
-        yield block
+    whole = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    shingles = cut(item_shingles(texts, share))
+    return coverage(shingles, whole, candidates(shingles, whole)).filter(F.col("coverage") >= share)
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
-from kbspark.llm.leakage import LEAST_TOKENS, SHARE, WIDTH, coverage, leaked_items
+from kbspark.llm import leakage
+from kbspark.llm.leakage import LEAST_TOKENS, MISS, SHARE, WIDTH, candidates, item_shingles, leaked_items, size_class
 from kbspark.llm.shingles import shingle_hashes, tokens
 
 
@@ -43,12 +44,10 @@ def make(seed):
 def test_pairs_equal_brute_force(spark):
     items, docs = make(1)
     a = spark.createDataFrame([(*r, "x") for r in items + items[:3]], "item_id long, text string, doc_id string")
-    b = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item_id int").repartition(3)
+    b = spark.createDataFrame([(*r, 1) for r in [*docs, docs[7]]], "doc_id long, text string, item_id int").repartition(3)
     expected = brute(items, docs)
     found = leaked_items(a, b).collect()
     assert {(r["item_id"], r["doc_id"]) for r in found} == expected and len(found) == len(expected) > 20
-    blocks = leaked_items(a, b, block_tokens=100).collect()
-    assert {(r["item_id"], r["doc_id"]) for r in blocks} == expected and len(blocks) == len(expected)
     assert leaked_items(a.limit(0), b).count() == 0 and leaked_items(a, b.limit(0)).count() == 0
 
 
@@ -60,11 +59,57 @@ def test_hashes_stand_for_shingles():
     assert len({s for s, _ in held}) == len(set(hashes.tolist()))
 
 
-def test_coverage():
-    item = [str(k) for k in range(40)]
-    held = lambda t: {tuple(t[k : k + WIDTH]) for k in range(len(t) - WIDTH + 1)}
-    assert coverage(item, held(item)) == 1 and coverage(item, set()) == 0
-    assert coverage(item, held(item[5:25])) == 0.5 and coverage(item, held(item[:10]) | held(item[30:])) == 0.5
+def test_pairs_by_join_alone(spark, monkeypatch):
+    """What is found where the sketches are too large to be sent."""
+    monkeypatch.setattr(leakage, "SENT", 0)
+    monkeypatch.setattr(leakage, "SENT_IDS", 0)
+    monkeypatch.setattr(leakage, "CHARS", 500)
+    items, docs = make(2)
+    a, b = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r["item_id"], r["doc_id"]) for r in leaked_items(a, b).collect()} == brute(items, docs)
+
+
+def test_coverage_is_exact(spark):
+    words = [f"w{k}" for k in range(40)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[5:25])), (3, " ".join([*words[:10], "x", *words[30:]])), (4, " ".join(words[:19])), (5, "x")], "doc_id long, text string")
+    assert {r["doc_id"]: r["coverage"] for r in leaked_items(items, docs).collect()} == {1: 1.0, 2: 0.5, 3: 0.5}
+
+
+def test_stock_sentences_make_no_candidates(spark):
+    """Every item and every document has the same ten tokens."""
+    draw = random.Random(3)
+    stock = " ".join(f"stock{k}" for k in range(10))
+    body = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    items = [(i, f"{body(15)} {stock} {body(n)}") for i, n in enumerate([10, 30, 60, 90, 400] * 8)]
+    docs = [(d, f"{body(60)} {stock} {body(40)} {items[d % 40][1] if d % 4 == 0 else ''}") for d in range(400)]
+    a, b = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    true = {(d % 40, d) for d in range(0, 400, 4)}
+    assert candidates(item_shingles(a).cache(), b).count() <= 2 * len(true)
+    assert {(r["item_id"], r["doc_id"]) for r in leaked_items(a, b).collect()} == true
+
+
+def test_size_classes():
+    assert [size_class(n).fewest for n in (30, 59, 60, 120, 480)] == [2, 2, 3, 6, 24]
+    assert size_class(100).rate == 1 and size_class(100).need == size_class(100).fewest
+    long = size_class(10_000)
+    assert long.rate < 0.05 and 2 <= long.need < 16
+    draw = random.Random(1)
+    missed = sum(sum(draw.random() < long.rate for _ in range(long.fewest)) < long.need for _ in range(3000))
+    assert missed <= 3000 * MISS + 3
+
+
+def test_long_items_and_items_that_repeat_themselves(spark):
+    draw = random.Random(9)
+    long = [f"v{draw.randrange(10**6)}" for _ in range(4000)]
+    # The weakest case: runs of ten tokens, each apart.
+    weak = " ".join(" ".join([*long[k : k + 10], f"gap{k}"]) for k in range(0, 4000, 20))
+    items = [(1, " ".join(long)), (2, "a b " * 400), (3, "c " * 600)]
+    docs = [(1, weak), (2, " ".join(long[:2000])), (3, " ".join(long[:1990])), (4, "a b " * 20), (5, "c " * 10), (6, "c " * 9), (7, "z")]
+    a, b = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    kept = item_shingles(a).filter("item_id = 1").selectExpr("avg(cast(kept AS int))").first()[0]
+    assert kept < 0.2
+    assert {(r["item_id"], r["doc_id"]) for r in leaked_items(a, b).collect()} == {(1, 1), (1, 2), (2, 4), (3, 5)}
 
 
 def test_short_chinese_documents_hold_half_of_an_item(spark):
