@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from kbspark.llm.encodings import explain, garble, garbled_places, restore, twins
+from kbspark.llm.encodings import align, characters, explain, garble, garbled_places, learn, restore, twins
 
 GERMAN = ["Die Wärmepumpe benötigt höchstens {} Watt für den Betrieb.", "Eine übliche Prüfung verlängert die Wartungsabstände auf {} Monate.", "Die Geschäftsführung genehmigt {} € für Überstunden und Fernzugänge.", "Nach der Bestätigung erfolgt die Lieferung binnen {} Tagen für Käufer."]
 FRENCH = ["La pompe coûte {} € à partir de la réception des pièces commandées.", "Le fournisseur remplace une poignée usée sous {} jours ouvrés après l’échéance."]
@@ -52,3 +52,56 @@ def test_explain():
     assert "utf-8>windows-1252>1" in explain("fÃ¼r", "für")
     assert "utf-8>windows-1252>2" in explain(garble("für", "utf-8", "windows-1252", 2), "für")
     assert explain("anders", "für") == []
+
+
+def test_align():
+    assert align("fÃ¼r", "für") == [("Ã¼", "ü")]
+    assert align("GrÃ¶ÃŸe", "Größe") == [("Ã¶ÃŸ", "öß")]
+    assert align("MÃ¤rzgÃ¼te", "Märzgüte") == [("Ã¤", "ä"), ("Ã¼", "ü")]
+    assert align("f黵", "für") == [("黵", "ür")] and align("gleich", "gleich") == []
+
+
+#: A confusion that no two encodings make: each letter as two others.
+OWN = {"ü": "ҫҗ", "ö": "ҫҙ", "ä": "ҫҡ", "é": "ҩҭ", "ß": "ҩ"}
+
+
+def test_a_mapping_that_no_encodings_have(spark, corpus):
+    docs, _ = corpus
+    clean = {i: t for i, t, _ in docs if i is not None and 3 <= i < 900 and i % 10 and i % 6 != 5}
+    bad = {i: t.translate(str.maketrans(OWN)) for i, t in clean.items() if i % 11 == 0}
+    bad = {i: t for i, t in bad.items() if t != clean[i]}
+    rows = [(i, bad.get(i, t)) for i, t in clean.items()] + [(3000, "Im Bericht steht fҫҗr statt für, das ist bekannt.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = characters(df)
+    learned = learn(twins(df, seen), seen)
+    assert learned.encodings == [] and not learned.lossy
+    assert learned.runs and all(OWN.get(c) == g for g, c in learned.runs.items())
+    places = garbled_places(df).persist()
+    assert {r["doc_id"] for r in places.select("doc_id").distinct().collect()} == set(bad)
+    mended = {r["doc_id"]: r["text"] for r in restore(df, places, twins(df)).collect()}
+    assert sum(mended[i] == clean[i] for i in bad) >= 0.9 * len(bad)
+
+
+def test_nothing_is_learned_from_clean_text(spark, corpus):
+    docs, bad = corpus
+    df = spark.createDataFrame([(i, t) for i, t, _ in docs if i is not None and i < 900 and i not in bad], "doc_id long, text string")
+    seen = characters(df)
+    learned = learn(twins(df, seen), seen)
+    assert learned.encodings == [] and learned.runs == {} and not learned.lossy
+    assert garbled_places(df).count() == 0
+
+
+def test_lost_characters_are_no_trace_where_none_were_learned(spark, corpus):
+    docs, bad = corpus
+    rows = [(i, t) for i, t, _ in docs if i is not None and i < 900 and i not in bad] + [(5000, "Das Zeichen � steht für ein unbekanntes."), (5001, "Muster�text ohne Zwilling")]
+    assert garbled_places(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+def test_quotations_stay(spark, corpus):
+    docs, bad = corpus
+    line = "Known issue: exports show fÃ¼r instead of für."
+    text = f"{line}\n{garble(GERMAN[3].format(7), 'utf-8', 'windows-1252', 1)} fÃ¼r alle."
+    df = spark.createDataFrame([*docs, (7000, text, "x")], "doc_id long, text string, x string").select("doc_id", "text")
+    pairs = twins(df)
+    mended = {r["doc_id"]: r["text"] for r in restore(df, garbled_places(df, pairs), pairs).filter("doc_id = 7000").collect()}
+    assert mended[7000] == f"{line}\n{GERMAN[3].format(7)} für alle."
