@@ -15,6 +15,8 @@ from kbspark.sources.tables import table
 
 #: Lines from either edge of a page among which headers, footers and page numbers are looked for.
 EDGE = 3
+#: Pages that a paragraph may go on over, a power of two.
+MOST_PAGES = 64
 #: A word is misread if one that looks alike is so many times as frequent in the corpus, and so many times in text that was never scanned.
 RATIO, CLEAN_RATIO = 20, 1000
 #: Letters and signs that scanning takes for one another, as what they are folded to.
@@ -117,9 +119,11 @@ def edge_lines(lines: DataFrame) -> DataFrame:
     in_file = edge.groupBy("source").agg(F.countDistinct("page").alias("all"))
     again = per_key.filter("pages > 1").join(in_file, "source").select("source", "key", (F.col("pages") >= 0.4 * F.col("all")).alias("often"))
     same = keyed.join(again, ["source", "key"]).filter(~F.col("stop") | F.col("often")).select("doc_id", "line_no")
-    # Lines that differ from one of these in one letter meet it without that letter.
-    near = keyed.join(again, ["source", "key"], "left_anti").filter(~F.col("stop")).withColumn("part", F.explode(_without_one("key")))
-    near = near.join(again.select("source", F.explode(_without_one("key")).alias("part")).distinct(), ["source", "part"], "left_semi").select("doc_id", "line_no")
+    # A line that differs from one of these in one letter has one half in common with it.
+    near = keyed.join(again, ["source", "key"], "left_anti").filter(~F.col("stop")).select("doc_id", "line_no", "source", F.col("key").alias("own"), F.length("key").alias("size"), F.explode(_halves("key")).alias("half"))
+    known = again.select("source", F.col("key").alias("other"), F.length("key").alias("size"), F.explode(_halves("key")).alias("half"))
+    alike = near.join(known, ["source", "size", "half"]).filter(F.levenshtein("own", "other", 1) == 1)
+    near = alike.select("doc_id", "line_no")
     headers = same.unionByName(near).distinct().withColumn("kind", F.lit("running_header"))
     marked = numbers.unionByName(headers).dropDuplicates(["doc_id", "line_no"])
 
@@ -130,9 +134,10 @@ def edge_lines(lines: DataFrame) -> DataFrame:
     return ranked.filter(F.col("kind").isNotNull()).join(text, "doc_id", "left").filter(outside).select("doc_id", "line_no", "kind").dropDuplicates(["doc_id", "line_no"])
 
 
-def _without_one(key: str) -> Column:
-    """The key without its n-th character, with n, for every n."""
-    return F.transform(F.sequence(F.lit(1), F.length(key)), lambda n: F.concat_ws(":", n.cast("string"), F.substring(F.col(key), F.lit(1), n - 1), F.substring(F.col(key), n + 1, F.length(key))))
+def _halves(key: str) -> Column:
+    """The hashes of both halves of the key, each with its side."""
+    middle = F.floor(F.length(key) / 2).cast("int")
+    return F.array(F.xxhash64(F.lit(1), F.substring(F.col(key), F.lit(1), middle)), F.xxhash64(F.lit(2), F.substring(F.col(key), middle + 1, F.length(key))))
 
 
 def body_lines(lines: DataFrame, edges: DataFrame) -> DataFrame:
@@ -246,7 +251,7 @@ def read_pages(docs: DataFrame) -> Findings:
     docs = docs.select("doc_id", "text", "source", "physical_page", "doc_type")
     lines = page_lines(docs)
     edges = cut(edge_lines(lines))
-    body = cut(body_lines(lines, edges))
+    body = body_lines(lines, edges)
     words = cut(vocabulary(docs))
     best = best_words(words)
     splits = cut(split_words(body, best))
@@ -267,12 +272,16 @@ def disturbed_lines(docs: DataFrame) -> DataFrame:
 
 
 def mend_pages(docs: DataFrame) -> DataFrame:
-    """The running text of every file: source, page and place (where a paragraph begins), text.
+    """The running text of every file: doc_id, source, page and place (where a paragraph begins), text.
 
     Headers and page numbers are gone, split words whole, misread words spelled as the corpus has them, stray signs
     dropped. A paragraph ends at a blank line or before a numbered heading, and goes on over the page where its last
-    line has no stop. Pages are gathered one at a time, paragraphs over pages by joins of neighbouring pages, so no file
-    is. docs as in disturbed_lines.
+    line has no stop: from the first row of a page (by doc_id) to that of the next. Other rows of the same page are
+    another text, and stand for themselves; so do rows without a source or number. docs as in disturbed_lines.
+
+    Pages are gathered one at a time, paragraphs over pages by joins of neighbouring pages. Where one would go on over
+    more than MOST_PAGES pages, as in a file without stops, it ends at every page whose number is a multiple of that; so
+    no file is gathered, and no text is lost.
     """
     found = read_pages(docs)
     fixes = found.misread.filter("word IS NOT NULL").groupBy("doc_id", "line_no").agg(F.collect_set(F.struct("word", "best")).alias("fixes"))
@@ -285,26 +294,30 @@ def mend_pages(docs: DataFrame) -> DataFrame:
         return pd.Series([_paragraphs(page) for page in column])
 
     parts = cut(pages.select("doc_id", "source", "page", F.posexplode(mend("lines")).alias("place", "p")).select("doc_id", "source", "page", "place", "p.text", "p.open"))
-    # The page that the first paragraph of a page begins on, found by doubling steps back over pages of one paragraph.
-    page = parts.groupBy("source", "page").agg(F.max("place").alias("last"), F.max_by("open", "place").alias("open"))
-    before = page.select("source", (F.col("page") + 1).alias("page"), F.col("open").alias("carried"), F.col("last").alias("last_before"))
-    step = page.join(before, ["source", "page"], "left").select("source", "page", F.when(F.coalesce("carried", F.lit(False)), F.col("page") - 1).otherwise(F.col("page")).alias("back"), (F.col("last") > 0).alias("anchor"), "last")
-    step = cut(step)
-    while True:
+    page = parts.filter("source IS NOT NULL AND page IS NOT NULL").groupBy("source", "page", "doc_id").agg(F.max("place").alias("last"), F.max_by("open", "place").alias("open"))
+    page = page.groupBy("source", "page").agg(F.min(F.struct("doc_id", "last", "open")).alias("x")).select("source", "page", "x.*")
+    before = page.select("source", (F.col("page") + 1).alias("page"), F.col("open").alias("carried"))
+    # The page that the first paragraph of a page begins on, by doubling steps back over pages of one paragraph.
+    carried = F.coalesce("carried", F.lit(False))
+    step = page.join(before, ["source", "page"], "left").select("source", "page", "doc_id", "last", F.when(carried, F.col("page") - 1).otherwise(F.col("page")).alias("back"), ((F.col("last") > 0) | ~carried).alias("anchor"))
+    for _ in range(MOST_PAGES.bit_length() - 1):
         far = step.select("source", F.col("page").alias("back"), F.when(F.col("anchor"), F.col("page")).otherwise(F.col("back")).alias("farther"))
-        moved = step.join(far, ["source", "back"], "left").withColumn("farther", F.when(F.col("back") < F.col("page"), F.coalesce("farther", "back")).otherwise(F.col("back")))
-        next_step = cut(moved.select("source", "page", F.col("farther").alias("back"), "anchor", "last", (F.col("farther") != F.col("back")).alias("moved")))
-        step = next_step.drop("moved")
-        if next_step.filter("moved").isEmpty():
-            break
-    begin = step.filter("back < page").join(step.select("source", F.col("page").alias("back"), F.col("last").alias("begin")), ["source", "back"]).select("source", "page", "back", "begin", F.lit(0).alias("place"))
-    placed = parts.join(begin, ["source", "page", "place"], "left")
-    whole = placed.select("doc_id", "source", "text", F.coalesce("back", "page").alias("at"), F.coalesce("begin", "place").alias("place"), F.col("page").alias("of"))
-    lone = whole.filter("source IS NULL OR at IS NULL")
-    run = whole.filter("source IS NOT NULL AND at IS NOT NULL").groupBy("source", "at", "place").agg(F.sort_array(F.collect_set(F.struct("of", "text"))).alias("parts"))
+        step = cut(step.join(far, ["source", "back"], "left").select("source", "page", "doc_id", "last", F.coalesce("farther", "back").alias("back"), "anchor"))
+    ahead = step.select("source", F.col("page").alias("back"), F.col("doc_id").alias("from_doc"), F.col("last").alias("begin"), F.col("anchor").alias("whole"))
+    reached = step.filter("back < page").join(ahead, ["source", "back"])
+    block = F.col("page") - F.pmod("page", F.lit(MOST_PAGES))
+    begin = reached.select(
+        "doc_id", F.lit(0).alias("place"), F.when(F.col("whole"), F.col("from_doc")).alias("from_doc"), F.when(F.col("whole"), F.col("back")).otherwise(block).alias("from_page"), F.when(F.col("whole"), F.col("begin")).alias("begin")
+    )
+    placed = parts.join(begin, ["doc_id", "place"], "left").withColumn("goes_on", F.col("from_page").isNotNull())
+    # A paragraph's own beginning, or, within one that never ends, a block of pages.
+    own = placed.select(
+        "source", "text", F.col("page").alias("of"), F.col("doc_id").alias("row_doc"), F.when(F.col("goes_on"), F.col("from_page")).otherwise(F.col("page")).alias("page"),
+        F.when(F.col("goes_on"), F.col("from_doc")).otherwise(F.col("doc_id")).alias("key_doc"), F.when(F.col("goes_on"), F.coalesce("begin", F.lit(0))).otherwise(F.col("place")).alias("place"),
+    )
+    run = own.groupBy("source", "page", "key_doc", "place").agg(F.min_by("row_doc", "of").alias("first_doc"), F.sort_array(F.collect_list(F.struct("of", "text"))).alias("parts"))
     joined = F.aggregate("parts.text", F.lit(""), lambda a, t: F.when(a == "", t).when(a.endswith("\u0000"), F.concat(F.rtrim(a, F.lit("\u0000")), t)).otherwise(_glued(a, t)))
-    clean = lambda c: F.replace(c, F.lit("\u0000"), F.lit(""))
-    return run.select("source", F.col("at").alias("page"), "place", clean(joined).alias("text")).unionByName(lone.select("source", F.col("at").alias("page"), "place", clean(F.col("text")).alias("text")))
+    return run.select(F.coalesce("key_doc", "first_doc").alias("doc_id"), "source", "page", "place", F.replace(joined, F.lit("\u0000"), F.lit("")).alias("text"))
 
 
 def _glued(a: Column, b: Column) -> Column:

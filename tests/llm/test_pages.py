@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from kbspark.llm.pages import disturbed_lines, mend_pages, read_edge
+from kbspark.llm.pages import MOST_PAGES, disturbed_lines, mend_pages, read_edge
 
 WORDS = ["delivery", "warranty", "contract", "cooling", "framework", "inspection", "certificate", "department", "maintenance", "quarter", "operator", "indicator", "pressure", "customer", "specific", "allowance", "settlement", "warehouse"]
 
@@ -61,6 +61,28 @@ def test_paragraphs(spark, pages):
     assert "maint-" not in text and "warranfy" not in text and "TERMS" not in text and "- 4 -" not in text
 
 
+def test_rows_of_one_page_are_kept_apart(spark):
+    docs = [(1, "alpha beta gamma", "f", 1, "page", "x"), (2, "delta epsilon zeta", "f", 1, "page", "x"), (3, "eta theta.", "f", 2, "page", "x"), (4, "iota kappa", None, 1, "page", "x"), (5, "lambda mu", None, 2, "page", "x")]
+    found = {(r["doc_id"], r["page"], r["text"]) for r in mend_pages(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert found == {(1, 1, "alpha beta gamma eta theta."), (2, 1, "delta epsilon zeta"), (4, 1, "iota kappa"), (5, 2, "lambda mu")}
+
+
+def test_a_file_without_stops_is_several_paragraphs_and_loses_nothing(spark):
+    docs = [(i, f"words of page number{i} go on", "f", i, "page", "x") for i in range(10, 300)]
+    found = mend_pages(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert 4 <= len(found) <= 6 and max(r["text"].count("words") for r in found) <= MOST_PAGES + 1
+    text = " ".join(r["text"] for r in sorted(found, key=lambda r: (r["page"], r["doc_id"])))
+    assert [int(w[6:]) for w in text.split() if w.startswith("number")] == list(range(10, 300))
+
+
+def test_a_line_of_a_hundred_thousand_characters(spark):
+    long = "delivery warranty " * 6000
+    other = long[:50_000] + "X" + long[50_001:]
+    docs = [(1, f"{long}\nbody one.\nmore.\nand.", "f", 1, "page", "x"), (2, f"{other}\nbody two.\nless.\nor.", "f", 2, "page", "x"), (3, f"{long}\nbody six.\nthen.\nbut.", "f", 3, "page", "x")]
+    found = {(r["doc_id"], r["line_no"]) for r in disturbed_lines(spark.createDataFrame(docs, SCHEMA)).collect() if r["kind"] == "running_header"}
+    assert {(1, 1), (2, 1), (3, 1)} <= found
+
+
 @pytest.mark.parametrize(("line", "number"), [("- 12 -", 12), ("p. 7", 7), ("Seite 3 von 9", 3), ("第5页 共9页", 5), ("[l4]", 14), ("     9O", 90), ("viii", 8), ("Page 3 of 9", 3), ("12 / 40", 12), ("12 units", None), ("Title   7", None), ("civil", None), ("", None)])
 def test_page_numbers(line, number):
     assert read_edge(line)[0] == number
