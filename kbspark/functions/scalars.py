@@ -40,11 +40,17 @@ def parse_number(text: Column) -> Column:
 
 def normal_date(text: Column) -> Column:
     """yyyy-MM-dd of a date with - or / and any time behind it; null where there is no such day."""
-    part = lambda i: F.regexp_extract(F.trim(text), r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[ T].*)?$", i)
+    part = lambda i: F.regexp_extract(F.trim(text), r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[ T]\d{1,2}:\d{2}(?::\d{2})?)?$", i)
     whole = F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
     return F.when(part(1) != "", F.try_to_date(whole, "yyyy-MM-dd"))
 
 
+def identifier(header: Column, place: Column) -> Column:
+    """A header as a safe name: lower case, runs of other signs as an underscore; col_<place> where it then begins with no letter or underscore. Null is empty."""
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(header, F.lit("")))), "[^0-9a-z_]+", "_"), "^_+|_+$", ""), "_{2,}", "_")
+    return F.when(name.rlike("^[a-z_]"), name).otherwise(F.concat_ws("_", F.lit("col"), place.cast("string")))
+
+
 def whole_number(text: Column) -> Column:
     """The value of a text of digits, with any sign, zeros and outer spaces; null for other text or beyond 18 digits."""
     bare = F.regexp_replace(F.trim(text), "^([+-]?)0+(?=[0-9])", "$1")

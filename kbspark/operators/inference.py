@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from kbspark.functions.scalars import normal_date, parse_number, whole_number
 from kbspark.sources.tables import table
 
-#: Most values a column may have to be an enumeration, and the longest of them.
+#: Most values a column may have to be an enumeration, and the longest of them.
 ENUM_VALUES, ENUM_LENGTH = 50, 32
-_INTEGER, _NUMBER, _DATE = r"^-?\d+$", r"^-?\d+(\.\d+)?$", r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}([ T].*)?$"
+#: What a whole number, a number, and a date with or without a time are written as.
+INTEGER, NUMBER, DATE = r"^-?\d+$", r"^-?\d+(\.\d+)?$", r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2})?)?$"
 
 
 def _value(column: str) -> Column:
@@ -31,7 +32,7 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     told = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
     out = each.groupBy("column_name").agg(
         told(F.col("v").isNotNull()).alias("filled"), count(F.col("v").isNotNull()).alias("different"), F.coalesce(F.max(F.length("v")), F.lit(0)).cast("long").alias("longest"),
-        told(F.col("v").rlike(_INTEGER)).alias("integers"), told(bare.rlike(_NUMBER)).alias("numbers"), told(F.col("v").rlike(_DATE)).alias("dates"),
+        told(F.col("v").rlike(INTEGER)).alias("integers"), told(bare.rlike(NUMBER)).alias("numbers"), told(F.col("v").rlike(DATE)).alias("dates"),
     )
     kind = (
         F.when(F.col("filled") == 0, "TEXT").when(F.col("integers") == F.col("filled"), "INTEGER").when(F.col("numbers") == F.col("filled"), "NUMERIC(14,2)").when(F.col("dates") == F.col("filled"), "DATE")
@@ -86,7 +87,7 @@ _CELLS = "cells AS (" + " UNION ALL ".join(f"SELECT '{n}' AS column_name, nullif
 SQL = {
     "column_profile": rf"""WITH {_CELLS}, p AS (SELECT column_name, count(v) AS filled, count(DISTINCT v) AS different, coalesce(max(length(v)), 0) AS longest,
 count(*) FILTER (regexp_full_match(v, '-?[0-9]+')) AS integers, count(*) FILTER (regexp_full_match(regexp_replace(v, '[,$￥]', '', 'g'), '-?[0-9]+(\.[0-9]+)?')) AS numbers,
-count(*) FILTER (regexp_full_match(v, '[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}([ T].*)?')) AS dates FROM cells GROUP BY column_name)
+count(*) FILTER (regexp_full_match(v, '[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}([ T][0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?)?')) AS dates FROM cells GROUP BY column_name)
 SELECT *, CASE WHEN filled = 0 THEN 'TEXT' WHEN integers = filled THEN 'INTEGER' WHEN numbers = filled THEN 'NUMERIC(14,2)' WHEN dates = filled THEN 'DATE'
 WHEN different <= {ENUM_VALUES} AND longest <= {ENUM_LENGTH} THEN 'VARCHAR(64)' WHEN longest <= 128 THEN 'VARCHAR(128)' ELSE 'TEXT' END AS inferred FROM p""",
     "enum_values": f"""WITH {_CELLS}, e AS (SELECT column_name, v AS value, count(*) AS n FROM cells WHERE v IS NOT NULL GROUP BY 1, 2)

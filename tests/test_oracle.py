@@ -2,12 +2,12 @@ import os
 
 import pytest
 
-from kbspark.operators import chunking, context, evaluation, inference, ledger, reconcile, reference_queries, retrieval, routing, versions
+from kbspark.operators import chunking, context, evaluation, inference, ledger, reconcile, reference_queries, retrieval, routing, sheets, versions
 from kbspark.plans import shapes
 from kbspark.streaming import ingest
 from tests.oracle import SMALL, rows_of, rows_of_sql
 
-MODULES = [shapes, reference_queries, ledger, versions, reconcile, retrieval, inference, chunking, evaluation, context, routing, ingest]
+MODULES = [shapes, reference_queries, ledger, versions, reconcile, retrieval, inference, sheets, chunking, evaluation, context, routing, ingest]
 QUERIES = {n: (q, m.SQL.get(n)) for m in MODULES for n, q in m.QUERIES.items()}
 
 
