@@ -33,7 +33,7 @@ _NUMBER = regex.compile(r"[0-9lIOoSsBb|]*[0-9][0-9lIOoSsBb|]*|l{1,2}|[IO]")
 _ROMAN = regex.compile(r"(?i)(?=.)(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})")
 _TOKEN = regex.compile(r"[\p{L}\p{N}|--[一-鿿]]+|[一-鿿]+", regex.V1)
 _AS_DIGITS = str.maketrans("lI|OoSsBb", "111005586")
-_WORDS, _HYPHENED = r"[\p{IsLatin}\p{N}]+", r"\p{IsLatin}+-(?:\p{IsLatin}+|(?= ))"
+_WORDS, _HYPHENED = r"[\p{IsLatin}\p{N}]++", r"\p{IsLatin}++-(?:\p{IsLatin}++|(?= ))"
 
 
 def looks(word: Column) -> Column:
