@@ -69,6 +69,7 @@ def _ranked(search, spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "eval_ranks": lambda s, d: _ranked(bm25, s, d),
+    "overlap_ranks": lambda s, d: _ranked(overlap, s, d),
     "eval_summary": lambda s, d: summary(_ranked(bm25, s, d), 5),
     "eval_changes": lambda s, d: changes(_ranked(overlap, s, d), _ranked(bm25, s, d)),
 }
@@ -83,6 +84,7 @@ FROM ({found}) f JOIN documents d ON d.doc_id = f.doc_id JOIN qa_test_v2 q ON q.
 _BM, _OV = _ranks_sql(_RETRIEVAL["bm25_topk"]), _ranks_sql(_RETRIEVAL["overlap_topk"])
 SQL = {
     "eval_ranks": _BM,
+    "overlap_ranks": _OV,
     "eval_summary": f"""WITH r AS (SELECT *, coalesce(rank <= 5, false) AS hit FROM ({_BM}) WHERE coalesce(category <> 'no_knowledge', true))
 SELECT count(*) AS items, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*), 4) AS recall, round(sum(CASE WHEN hit THEN 1.0 / rank ELSE 0 END) / count(*), 4) AS mrr, count(*) FILTER (hit AND rank = 1) AS rank_1,
 count(*) FILTER (hit AND rank BETWEEN 2 AND 3) AS rank_2_3, count(*) FILTER (hit AND rank >= 4) AS rank_4_k, count(*) FILTER (NOT hit) AS missed FROM r""",

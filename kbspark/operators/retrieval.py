@@ -171,6 +171,7 @@ def _long(query):
 
 QUERIES = {
     "bm25_topk": _long(lambda s, d: bm25(_docs(s, d), _items(s, d), 10)),
+    "bm25_top20": _long(lambda s, d: bm25(_docs(s, d), _items(s, d), 20)),
     "overlap_topk": _long(lambda s, d: overlap(_docs(s, d), _items(s, d), 10)),
     "rrf_fusion": _long(lambda s, d: fuse([bm25(_docs(s, d), _items(s, d), 20), overlap(_docs(s, d), _items(s, d), 20)], 10)),
     "relevance_filter": _long(q_relevant),
@@ -206,6 +207,7 @@ _NEAR = f"""SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_cosine_similar
 FROM embeddings q, embeddings v WHERE q.vec_id % {EVERY} = 0 AND v.vec_id <> q.vec_id"""
 SQL = {
     "bm25_topk": f"WITH {_POST} {_BM(10)}",
+    "bm25_top20": f"WITH {_POST} {_BM(20)}",
     "overlap_topk": _OV(10),
     "rrf_fusion": f"""WITH {_POST} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ({_best_sql(f'''SELECT query_id, doc_id, sum(1.0 / ({RRF_K} + rank)) AS score FROM
 (SELECT * FROM ({_BM(20)}) UNION ALL SELECT * FROM ({_OV(20)})) GROUP BY query_id, doc_id''', 10)})""",
