@@ -33,6 +33,25 @@ def word_set_sql(text: str) -> str:
     return rf"list_distinct(regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9_]+|[\x{{4E00}}-\x{{9FFF}}]'))"
 
 
+def example_words(text: Column) -> Column:
+    """Distinct words (also with dots), Chinese characters, and neighbouring ones within a run, as examples are compared by."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    runs = F.regexp_extract_all(low, F.lit("[一-鿿]+"), F.lit(0))
+    pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) > 1, F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_.]+"), F.lit(0)), F.regexp_extract_all(low, F.lit("[一-鿿]"), F.lit(0)), pairs))
+
+
+def example_words_sql(text: str) -> str:
+    low, cjk = f"lower(coalesce({text}, ''))", r"[\x{4E00}-\x{9FFF}]"
+    pairs = f"flatten(list_transform(regexp_extract_all({low}, '{cjk}+'), lambda r: list_transform(range(1, length(r)), lambda i: substring(r, i, 2))))"
+    return f"list_distinct(list_concat(regexp_extract_all({low}, '[a-z0-9_.]+'), regexp_extract_all({low}, '{cjk}'), {pairs}))"
+
+
+def hits(text: Column, words: tuple[str, ...]) -> Column:
+    """Those of the words that a text has, in any case, in their order; none for null."""
+    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.coalesce(F.contains(F.lower(text), F.lower(w)), F.lit(False)))
+
+
 def parse_number(text: Column) -> Column:
     """A number with thousands commas or a currency sign; anything else is null."""
     return F.regexp_replace(F.trim(text), "[,$￥€]", "").try_cast("double")

@@ -214,10 +214,14 @@ def q_replaceable(spark: SparkSession, folder: str) -> DataFrame:
     return replaceable(owned, offers.filter("table_name IS NOT NULL"))
 
 
-def q_schema_text(spark: SparkSession, folder: str) -> DataFrame:
+def q_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """All tables of the documents with their columns."""
     columns = _named(spark, folder)
-    tables = columns.select("table_name", F.lit("").alias("display_name")).distinct()
-    return rendered(with_columns(tables, columns))
+    return with_columns(columns.select("table_name", F.lit("").alias("display_name")).distinct(), columns)
+
+
+def q_schema_text(spark: SparkSession, folder: str) -> DataFrame:
+    return rendered(q_tables(spark, folder))
 
 
 QUERIES = {
@@ -227,6 +231,7 @@ QUERIES = {
     "sheet_comments": lambda s, d: column_comments(_columns(s, d)),
     "table_names": lambda s, d: table(s, d, "documents", "source").filter("source IS NOT NULL").distinct().select("source", table_name(F.col("source"), F.lit("")).alias("table_name")),
     "schema_text": q_schema_text,
+    "described_tables": lambda s, d: q_tables(s, d).select("table_name", "display_name", F.inline("columns")).select("table_name", "display_name", "name", "description", "enum_values"),
     "table_ownership": lambda s, d: ownership(_owned(s, d)),
     "table_replaceable": q_replaceable,
 }
@@ -269,6 +274,7 @@ SQL = {
     "sheet_comments": f"WITH {_SCHEMA} SELECT sheet, col, concat_ws('；', description, CASE WHEN enum_values <> '' THEN '取值：' || enum_values || '（共 ' || len(string_split(enum_values, '/')) || ' 类）' END, CASE WHEN is_primary THEN '主键' END) AS comment FROM schema_of",
     "table_names": f"SELECT source, table_name FROM {_NAME} WHERE source IS NOT NULL",
     "schema_text": f"""WITH {_SCHEMA} SELECT table_name, '## ' || table_name || chr(10) || string_agg('- ' || name || ' ' || sql_type || CASE WHEN is_primary THEN ' [主键]' ELSE '' END || CASE WHEN description <> '' THEN '    ' || description ELSE '' END, chr(10) ORDER BY col) AS schema_text FROM tabled GROUP BY table_name""",
+    "described_tables": f"WITH {_SCHEMA} SELECT table_name, '' AS display_name, name, description, enum_values FROM tabled",
     "table_ownership": f"""WITH r AS (SELECT file_format AS table_name, {_SHARED} AS shared, nullif(nullif(tenant_id, ''), '{UNOWNED}') AS tenant, count(*) AS n FROM {_REG} GROUP BY ALL)
 SELECT table_name, coalesce(string_agg(tenant || '=' || n, ',' ORDER BY tenant || '=' || n) FILTER (NOT shared AND tenant IS NOT NULL), '') AS tenants, CAST(coalesce(sum(n) FILTER (shared), 0) AS BIGINT) AS shared_rows, CAST(coalesce(sum(n) FILTER (NOT shared AND tenant IS NULL), 0) AS BIGINT) AS unowned_rows, CAST(sum(n) AS BIGINT) AS total_rows FROM r GROUP BY table_name""",
     "table_replaceable": f"""WITH r AS (SELECT source AS table_name, {_SHARED} AS shared, coalesce(nullif(tenant_id, '{UNOWNED}'), '') AS tenant FROM {_REG}),
