@@ -16,7 +16,7 @@ SIZE, OVERLAP, SMALL = 500, 50, 100
 #: Names of columns that only count rows, and what is a number.
 COUNTING = ["id", "no", "no.", "#", "rank", "index", "idx", "序号", "编号", "代码", "code"]
 _NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
-#: A table within a text: a line with |, one of dashes, and the lines with | that follow.
+#: Fixed value: a table within a text: a line with |, one of dashes, and the lines with | that follow.
 _TABLE = r"(?m)^[^\n]*\|[^\n]*\n[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t\r]*(?:\n[^\n]*\|[^\n]*)*"
 _COLUMN = ("source", "sheet", "col", "name")
 
@@ -169,11 +169,11 @@ def sheet_extremes(cells: DataFrame, most: int = 3) -> DataFrame:
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents", "doc_id", "source", "text", "doc_type").filter("doc_type != 'page'")
+    return table(spark, folder, "documents", "doc_id", "source", "text", "doc_type")
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    """What _docs leaves out: scanned and PDF pages, each a text of its own, and rows without a doc_type."""
+    """Scanned and PDF pages alone, each a text of its own, and rows without a doc_type."""
     return table(spark, folder, "documents", "doc_id", "source", "text", "doc_type").filter("doc_type = 'page' OR doc_type IS NULL")
 
 
@@ -205,7 +205,7 @@ QUERIES = {
     "sheet_extremes": lambda s, d: sheet_extremes(_all_cells(s, d)),
     "chunks": lambda s, d: chunks(table(s, d, "documents", "doc_id", "source", "text", "file_format", "doc_type", "physical_page", "total_pages")),
 }
-_DOCS = "(SELECT * FROM documents WHERE doc_type <> 'page' AND text IS NOT NULL)"
+_DOCS = "(SELECT * FROM documents WHERE text IS NOT NULL)"
 _PAGES = "(SELECT * FROM documents WHERE (doc_type = 'page' OR doc_type IS NULL) AND text IS NOT NULL)"
 _TRIM = lambda x: rf"regexp_replace({x}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
 _LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
@@ -227,14 +227,13 @@ SELECT doc_id, n, md5(array_to_string(list_concat(ls[1:2], ls[3 + n * {ROWS}: 2
     "filename_prefix": f"SELECT doc_id, md5('【文档: ' || source || '】' || chr(10) || text) AS text_md5 FROM {_DOCS}",
 }
 SQL |= {f"page_{name}": sql.replace(_DOCS, _PAGES) for name, sql in SQL.items()}
-_ANY = "(SELECT * FROM documents WHERE text IS NOT NULL)"
 _FOUND = f"""(SELECT {{'doc_id': doc_id, 'table_no': pos}} AS doc_id, source, text FROM (SELECT doc_id, source, unnest(ts) AS text, generate_subscripts(ts, 1) AS pos FROM
-(SELECT doc_id, source, regexp_extract_all(text, '{_TABLE}') AS ts FROM {_ANY} WHERE doc_id NOT IN (SELECT doc_id FROM {_TABLED.replace(_DOCS, _ANY)}))))"""
+(SELECT doc_id, source, regexp_extract_all(text, '{_TABLE}') AS ts FROM {_DOCS} WHERE doc_id NOT IN (SELECT doc_id FROM {_TABLED}))))"""
 SQL |= {
     "inner_row_sentences": f"SELECT doc_id.doc_id AS doc_id, doc_id.table_no AS table_no, row_no, sentence FROM ({SQL['row_sentences'].replace(_DOCS, _FOUND)})",
     "inner_table_pieces": f"SELECT doc_id.doc_id AS doc_id, doc_id.table_no AS table_no, n, text_md5 FROM ({SQL['table_pieces'].replace(_DOCS, _FOUND)})",
 }
-_SHEETS = f"""r AS (SELECT doc_id, source, {_CELL("ls[1]")} AS h, list_filter(ls[3:], lambda x: contains(x, '|')) AS body FROM {_TABLED.replace(_DOCS, "(SELECT * FROM documents WHERE text IS NOT NULL)")}),
+_SHEETS = f"""r AS (SELECT doc_id, source, {_CELL("ls[1]")} AS h, list_filter(ls[3:], lambda x: contains(x, '|')) AS body FROM {_TABLED}),
 l AS (SELECT doc_id, source, h, unnest(body) AS line, generate_subscripts(body, 1) AS row_no FROM r), v AS (SELECT *, {_CELL("line")} AS vs FROM l),
 x AS (SELECT doc_id, source, h, row_no, trim(line) AS row, unnest(vs) AS value, generate_subscripts(vs, 1) - 1 AS col FROM v),
 c AS (SELECT source, array_to_string(h, '|') AS sheet, col, coalesce(nullif(h[col + 1], ''), '列' || (col + 1)) AS name, doc_id, row_no, row, value,

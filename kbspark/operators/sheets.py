@@ -182,7 +182,7 @@ def share_tables(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.withColumn("is_shared", F.coalesce("is_shared", F.lit(False)) | F.col("table_name").isin(*names) if names else F.coalesce("is_shared", F.lit(False)))
 
 
-def _rows(spark: SparkSession, folder: str) -> DataFrame:
+def raw_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of all table texts as raw rows, a sheet for each document."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit("|")) & ~x.rlike(r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)*\|?\s*$"))
     docs = table(spark, folder, "documents", "doc_id", "text", "doc_type").filter("doc_type = 'table' AND text IS NOT NULL")
@@ -191,7 +191,7 @@ def _rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _columns(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _rows(spark, folder)
+    rows = raw_rows(spark, folder)
     return infer_columns(body_cells(rows, header_rows(rows)))
 
 
@@ -225,7 +225,7 @@ def q_schema_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "sheet_headers": lambda s, d: header_rows(_rows(s, d)).select("sheet", "header_row", F.array_join("head", "|").alias("head"), F.array_join(column_names(F.col("head")), "|").alias("names")),
+    "sheet_headers": lambda s, d: header_rows(raw_rows(s, d)).select("sheet", "header_row", F.array_join("head", "|").alias("head"), F.array_join(column_names(F.col("head")), "|").alias("names")),
     "sheet_schema": lambda s, d: _columns(s, d),
     "sheet_statements": lambda s, d: create_statements(_named(s, d)),
     "sheet_comments": lambda s, d: column_comments(_columns(s, d)),
@@ -240,8 +240,9 @@ _CLEAN = lambda c: f"regexp_replace(regexp_replace(regexp_replace(lower(trim({c}
 _STEM = _CLEAN(r"regexp_replace(coalesce(source, ''), '\.[^.]*$', '')")
 _NAME = f"""(SELECT source, substring(CASE WHEN regexp_matches(n, '^[a-z]') THEN n ELSE trim('t_' || n, '_') END, 1, {NAME_LENGTH}) AS table_name FROM (SELECT source, coalesce(nullif(trim(regexp_replace(regexp_replace(st, '^(xlsx|sample)[_-]', ''), '[_-]?sample[_-]?', '_', 'g'), '_'), ''), nullif(st, ''), 'table') AS n
 FROM (SELECT DISTINCT source, {_STEM} AS st FROM documents)))"""
-_HEADS = rf"""raw AS (SELECT doc_id AS sheet, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS row_no FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(x, '|') AND NOT regexp_full_match(x, '{_SEP}')) AS ls FROM documents WHERE doc_type = 'table' AND text IS NOT NULL)),
-rws AS (SELECT sheet, row_no, list_transform(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|'), lambda c: trim(c)) AS cells FROM raw),
+RAW_SQL = rf"""raw AS (SELECT doc_id AS sheet, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS row_no FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(x, '|') AND NOT regexp_full_match(x, '{_SEP}')) AS ls FROM documents WHERE doc_type = 'table' AND text IS NOT NULL)),
+rws AS (SELECT sheet, row_no, list_transform(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|'), lambda c: trim(c)) AS cells FROM raw)"""
+_HEADS = rf"""{RAW_SQL},
 top AS (SELECT *, list_filter(cells, lambda c: c <> '') AS f FROM rws WHERE row_no < {SCAN}),
 fit AS (SELECT *, len(f) >= 2 AND len(list_filter(f, lambda c: regexp_full_match(c, '-?[0-9]+(\.[0-9]+)?'))) = 0 AND len(list_distinct(f)) = len(f) AS ok FROM top),
 heads AS (SELECT sheet, row_no AS header_row, cells AS head FROM fit QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY ok DESC, CASE WHEN ok THEN len(f) ELSE 0 END DESC, row_no) = 1),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Encodings tried in order.
+#: Encodings tried in order.
 ENCODINGS = ("utf-8", "utf-8-sig", "gbk", "gb2312", "latin-1")
 
 

@@ -4,10 +4,11 @@ import pytest
 
 from kbspark.operators import chunking, context, evaluation, inference, ledger, quality, reconcile, reference_queries, retrieval, routing, sheets, versions
 from kbspark.plans import shapes
+from kbspark.sources import sinks
 from kbspark.streaming import ingest
 from tests.oracle import SMALL, rows_of, rows_of_sql
 
-MODULES = [shapes, reference_queries, ledger, versions, reconcile, retrieval, inference, sheets, chunking, evaluation, quality, context, routing, ingest]
+MODULES = [shapes, reference_queries, ledger, versions, reconcile, retrieval, inference, sheets, chunking, evaluation, quality, context, routing, sinks, ingest]
 QUERIES = {n: (q, m.SQL.get(n)) for m in MODULES for n, q in m.QUERIES.items()}
 
 
