@@ -88,11 +88,16 @@ def plain_path(path: Column) -> Column:
 
 
 def base_name(path: Column) -> Column:
-    """The last part of a path with slashes of either kind; null where that is empty, . or .."""
+    """The last part of a path with slashes of either kind; null where that is empty, . or .., or longer than 512 characters."""
     last = F.element_at(F.split(F.translate(path, "\\", "/"), "/"), -1)
-    return F.when(~last.isin("", ".", ".."), last)
+    return F.when(~last.isin("", ".", "..") & (F.length(last) <= 512), last)
 
 
 def chunk_id(source: Column, text: Column) -> Column:
     """A stable id of a chunk from its source and beginning."""
     return F.md5(F.concat_ws(":", source, F.substring(text, 1, 200)))
+
+
+def version_chunk_id(version: Column, place: Column, text: Column) -> Column:
+    """A stable id of a chunk of one version of a document, from its place and whole text."""
+    return F.md5(F.concat_ws(":", version.cast("string"), place.cast("string"), text))

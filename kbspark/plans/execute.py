@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from decimal import Decimal
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -96,3 +97,36 @@ def fetch(df: DataFrame, max_rows: int = MAX_ROWS, seconds: float = SECONDS) ->
         timer.cancel()
         context.setLocalProperty("spark.jobGroup.id", None)
     return Result(df.columns, rows[:max_rows], len(rows) > max_rows)
+
+
+#: Rows that are shown whole, and of a longer result.
+INLINE, SAMPLE = 50, 5
+
+
+class Shown(NamedTuple):
+    """What a model is shown of a result: rows, whether these are all that were read, and what to know about them."""
+
+    columns: list[str]
+    rows: list[dict]
+    whole: bool
+    notes: list[str]
+
+
+def shown(result: Result, masked_columns: tuple[str, ...] = (), inline: int = INLINE, sample: int = SAMPLE) -> Shown:
+    """A short result whole, of a longer one the first rows; with notes on what is cut, truncated or masked. Values are plain: numbers, text, true and false; times as ISO text, other values as text."""
+    whole = len(result.rows) <= inline
+    rows = [{c: _plain(v) for c, v in zip(result.columns, r, strict=True)} for r in (result.rows if whole else result.rows[:sample])]
+    notes = [] if whole else [f"{sample} of {len(result.rows)} rows are shown; do not count or add them up."]
+    if result.truncated:
+        notes.append(f"The result has more than {len(result.rows)} rows, the rest was not read.")
+    if masked_columns:
+        notes.append(f"Values of {', '.join(sorted(masked_columns))} are masked.")
+    return Shown(result.columns, rows, whole, notes)
+
+
+def _plain(value: object) -> object:
+    if value is None or isinstance(value, (bool, int, float, str)):
+        return value
+    if isinstance(value, Decimal):
+        return int(value) if value == value.to_integral_value() else float(value)
+    return value.isoformat() if hasattr(value, "isoformat") else str(value)

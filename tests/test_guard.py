@@ -2,7 +2,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
-from kbspark.plans.execute import Refused, fetch, guarded, masked, scoped
+from kbspark.plans.execute import Refused, fetch, guarded, masked, scoped, shown
 from kbspark.plans.guard import check
 from kbspark.plans.identity import ANONYMOUS, principal
 
@@ -111,3 +111,10 @@ def test_scopes_and_masks(spark, people):
 def test_fetch_reads_one_more_than_the_cap(spark, rows, cap, truncated):
     found = fetch(spark.range(rows), cap, 60)
     assert (len(found.rows), found.truncated) == (min(rows, cap), truncated)
+
+
+def test_what_is_shown(spark):
+    few = shown(fetch(spark.sql("SELECT 1 AS a, date'2025-01-02' AS d, CAST(2.50 AS DECIMAL(9,2)) AS n, CAST(3 AS DECIMAL(9,0)) AS m, true AS t, NULL AS z, array(1) AS x"), 5, 60))
+    assert few.rows == [{"a": 1, "d": "2025-01-02", "n": 2.5, "m": 3, "t": True, "z": None, "x": "[1]"}] and few.whole and few.notes == []
+    many = shown(fetch(spark.range(300), 200, 60), ("salary",))
+    assert len(many.rows) == 5 and not many.whole and len(many.notes) == 3
