@@ -117,12 +117,12 @@ def candidates(shingles: DataFrame, docs: DataFrame) -> DataFrame:
     """
     sketch = shingles.filter("kept").groupBy("item_id", "hash").agg(F.count(F.lit(1)).alias("places"), F.first("need").alias("need"))
     sketch = cut(sketch)
-    size = sketch.select("hash").distinct().count()
-    if size <= SENT:
-        wanted = np.sort(np.array([r["hash"] for r in sketch.select("hash").distinct().collect()], np.int64).view(np.uint64))
-        met = document_shingles(docs, wanted)
+    hashes = sketch.select("hash").distinct()
+    if hashes.count() <= SENT:
+        wanted = hashes.toArrow()["hash"].to_numpy()
+        met = document_shingles(docs, np.sort(wanted.astype(np.int64).view(np.uint64)))
     else:
-        met = document_shingles(docs).join(sketch.select("hash").distinct(), "hash", "left_semi")
+        met = document_shingles(docs).join(hashes, "hash", "left_semi")
     met = cut(met)
     often = met.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"))
     order = W.partitionBy("item_id").orderBy(F.desc("docs"), "hash")
