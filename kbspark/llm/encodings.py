@@ -87,7 +87,9 @@ def explain(garbled: str, clean: str) -> list[str]:
 
 def _sentences(docs: DataFrame) -> DataFrame:
     """The sentences with a character outside ASCII: doc_id, s (digits as 0)."""
-    parts = F.filter(F.split("text", r"\n|(?<=[.!?]) +"), lambda x: x.rlike(r"[^\x00-\x7F]"))
+    foreign = lambda x: x.rlike(r"[^\x00-\x7F]")
+    lines = F.filter(F.split("text", "\n"), foreign)
+    parts = F.filter(F.flatten(F.transform(lines, lambda x: F.split(x, "(?<=[.!?]) +"))), foreign)
     return docs.select("doc_id", F.explode(parts).alias("s")).select("doc_id", F.regexp_replace("s", "[0-9]+", "0").alias("s"))
 
 
@@ -98,7 +100,8 @@ def stripped_keys(s: Column) -> Column:
     # A word is tried from its beginning only, its ASCII part once.
     words = F.regexp_replace(s, r"(?<![^ \t|])[\x00-\x7F&&[^ \t|]]*+[^\x00-\x7F][^ \t|]*", "\u0002")
     enough = lambda k: k.rlike(rf"^(?:[^A-Za-z0-9]*+[A-Za-z0-9]){{{_SPECIFIC}}}")
-    return F.array_compact(F.array(F.when(enough(runs), F.xxhash64(runs)), F.when(enough(words), F.xxhash64(words))))
+    # Within the array, so that each text is stripped once.
+    return F.array_compact(F.transform(F.array(runs, words), lambda k: F.when(enough(k), F.xxhash64(k))))
 
 
 def twins(docs: DataFrame, seen: dict[str, int] | None = None) -> DataFrame:
