@@ -122,8 +122,7 @@ def edge_lines(lines: DataFrame) -> DataFrame:
     # A line that differs from one of these in one letter has one half in common with it.
     near = keyed.join(again, ["source", "key"], "left_anti").filter(~F.col("stop")).select("doc_id", "line_no", "source", F.col("key").alias("own"), F.length("key").alias("size"), F.explode(_halves("key")).alias("half"))
     known = again.select("source", F.col("key").alias("other"), F.length("key").alias("size"), F.explode(_halves("key")).alias("half"))
-    alike = near.join(known, ["source", "size", "half"]).filter(F.levenshtein("own", "other", 1) == 1)
-    near = alike.select("doc_id", "line_no")
+    near = near.join(known, ["source", "size", "half"]).filter(_one_off("own", "other")).select("doc_id", "line_no")
     headers = same.unionByName(near).distinct().withColumn("kind", F.lit("running_header"))
     marked = numbers.unionByName(headers).dropDuplicates(["doc_id", "line_no"])
 
@@ -140,6 +139,15 @@ def _halves(key: str) -> Column:
     return F.array(F.xxhash64(F.lit(1), F.substring(F.col(key), F.lit(1), middle)), F.xxhash64(F.lit(2), F.substring(F.col(key), middle + 1, F.length(key))))
 
 
+def _one_off(a: str, b: str, parts: int = 64) -> Column:
+    """Whether two texts of one length differ in one character. They are compared part by part, as a distance takes the square of the length."""
+    step = F.ceil(F.length(a) / parts).cast("int")
+    cut_up = lambda c: F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.substring(F.col(c), i * step + 1, step))
+    other = F.filter(F.arrays_zip(cut_up(a).alias("a"), cut_up(b).alias("b")), lambda x: x["a"] != x["b"])
+    first = F.get(other, F.lit(0))
+    return (F.size(other) == 1) & (F.levenshtein(first["a"], first["b"]) == 1)
+
+
 def body_lines(lines: DataFrame, edges: DataFrame) -> DataFrame:
     """The other lines, each with the text line that follows it in the file: + next_doc, next_no, next (null after the last one).
 
