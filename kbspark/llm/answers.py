@@ -5,12 +5,14 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+import pickle
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +25,17 @@ from kbspark.session import cut
 from kbspark.sources.tables import table
 
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
-#: Pairs that the language model and the random field are fitted on, the first by a hash of their id.
-SAMPLE = 12_000
-#: Log odds that the field gives a refusal beyond what its sample says, as wordings that no rule has are not in that.
+#: Pairs of a block, at least, but where there are fewer, or texts are long. Every pair is in one; each block fits a field, and their mean tags all pairs.
+BLOCK = 12_000
+SAMPLE = BLOCK  # what a field is tried on alone
+#: Log odds that the field gives a refusal beyond what the votes say, as wordings that no rule has get none.
 LEAN = 1.0
 _WIDTH = 1 << 16
 _AT_ONCE = 1024
+#: Characters of the answers of a block, about, and words that a task counts before it gives them on.
+_BLOCK_TEXT, _COUNTED = 8_000_000, 1 << 19
+#: Weights are added up as whole numbers of this part, so that no order of blocks shows.
+_UNIT = 1 << 24
 
 #: Frequent words by which a text's language is first told.
 _COMMON = {
@@ -108,28 +115,74 @@ def _terms(found: list[str]) -> list[str]:
     return [w for w in found if w not in _STOP and len(w) > 1 and not _word(w).tells] + [a + b for a, b in itertools.pairwise(found) if len(a) == 1 == len(b) and a not in _STOP and b not in _STOP and a >= "一" and b >= "一"]
 
 
+_SEEDS = {w: {k for k, v in _COMMON.items() if w in v.split()} for v in _COMMON.values() for w in v.split()}
+_KEYS = list(_COMMON)
+
+
+def counted(pairs: Iterable[tuple[str | None, str]]) -> dict[str, list[int]]:
+    """By word, the texts of each language that have it, where frequent words tell a text's language, and the questions about it; by "" all questions."""
+    out: dict[str, list[int]] = defaultdict(lambda: [0] * (len(_KEYS) + 1))
+    for question, answer in pairs:
+        if question:
+            for t in {"", *_terms(_TOKEN.findall(question.lower()))}:
+                out[t][-1] += 1
+        for text in (question or "", answer):
+            words = Languages.words(text)
+            best = Counter(k for w in words for k in _SEEDS.get(w, ())).most_common(2)
+            if best and best[0][1] >= 2 and (len(best) == 1 or best[0][1] >= best[1][1] + 2):
+                k = _KEYS.index(best[0][0])
+                for w in set(words):
+                    out[w][k] += 1
+    return out
+
+
 class Languages:
     """Tells five languages apart by their words, with what frequent words teach about the others; knows what questions are about."""
 
-    def __init__(self, texts: list[str], questions: list[str] = ()) -> None:
-        asked = Counter(t for q in questions for t in set(_terms(_TOKEN.findall(q.lower()))))
-        # What one question in a hundred has is how people ask, not what about.
-        self.topics = {t for t, n in asked.items() if 3 <= n <= max(3, len(questions) // 100)}
-        seeds = {w: {k for k, v in _COMMON.items() if w in v.split()} for v in _COMMON.values() for w in v.split()}
-        counts: dict[str, Counter[str]] = {k: Counter() for k in _COMMON}
-        for text in texts:
-            words = self.words(text)
-            votes = Counter(k for w in words for k in seeds.get(w, ()))
-            best = votes.most_common(2)
-            if best and best[0][1] >= 2 and (len(best) == 1 or best[0][1] >= best[1][1] + 2):
-                counts[best[0][0]].update(set(words))
+    #: Texts or questions that a word must be in.
+    LEAST = 3
+
+    def __init__(self, counts: Iterable[tuple[str, Sequence[int]]], total: Sequence[int], questions: int) -> None:
+        """counts: as `counted` has them; words below LEAST may be left out. total: the sum of each language's; questions: of all."""
+        self.keys = _KEYS
+        self.topics: set[str] = set()
         self.weight: dict[str, tuple[float, ...]] = {}
-        self.keys = list(_COMMON)
-        total = [sum(counts[k].values()) + 1000 for k in self.keys]
-        for w in set().union(*counts.values()) | set(seeds):
-            n = [counts[k][w] + (5 if k in seeds.get(w, ()) else 0) for k in self.keys]
-            if sum(n) >= 3:
-                self.weight[w] = tuple(math.log((x + 0.5) / t) for x, t in zip(n, total, strict=True))
+        # Rare words have few counts, so they share their weights.
+        shared: dict[tuple[int, ...], tuple[float, ...]] = {}
+        for w, (*n, asked) in itertools.chain(counts, [(w, [0] * (len(_KEYS) + 1)) for w in _SEEDS]):
+            # What one question in a hundred has is how people ask, not what about.
+            if w and self.LEAST <= asked <= max(self.LEAST, questions // 100):
+                self.topics.add(w)
+            n = tuple(x + (5 if k in _SEEDS.get(w, ()) else 0) for k, x in zip(_KEYS, n, strict=True))
+            if sum(n) >= self.LEAST and w not in self.weight:
+                self.weight[w] = shared.setdefault(n, tuple(math.log((x + 0.5) / (t + 1000)) for x, t in zip(n, total, strict=True)))
+
+    @classmethod
+    def of_pairs(cls, pairs: Iterable[tuple[str | None, str]]) -> Languages:
+        counts = counted(pairs)
+        return cls(counts.items(), [sum(x) for x in zip(*counts.values(), strict=True)][:-1] or [0] * len(_KEYS), counts[""][-1])
+
+    @classmethod
+    def of_table(cls, pairs: DataFrame) -> Languages:
+        """The same from all rows of question and answer: tasks count, sums by word meet in a shuffle, and only words that count are gathered."""
+        names = [*_KEYS, "asked"]
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[str, list[int]] = {}
+            for batch in batches:
+                for at in range(0, len(batch), _AT_ONCE):
+                    some = batch[at : at + _AT_ONCE]
+                    for w, n in counted(zip(some["question"], some["answer"], strict=True)).items():
+                        held[w] = [x + y for x, y in zip(held[w], n, strict=True)] if w in held else n
+                    if len(held) >= _COUNTED:
+                        yield pd.DataFrame([(w, *n) for w, n in held.items()], columns=["word", *names])
+                        held = {}
+            yield pd.DataFrame([(w, *n) for w, n in held.items()], columns=["word", *names])
+
+        counts = cut(pairs.select("question", "answer").mapInPandas(count, "word string, " + ", ".join(f"{n} long" for n in names)).groupBy("word").agg(*[F.sum(n).alias(n) for n in names]))
+        *total, questions = counts.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in _KEYS], F.coalesce(F.sum(F.when(F.col("word") == "", F.col("asked"))), F.lit(0))).first()
+        kept = counts.filter((sum((F.col(n) for n in _KEYS), F.lit(0)) >= cls.LEAST) | (F.col("asked") >= cls.LEAST) | F.col("word").isin(*_SEEDS))
+        return cls(((w, n) for w, *n in kept.collect()), total, questions)
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -299,18 +352,31 @@ class Pair:
             return bool(others) and all(e == "closed" for e in others)
         return not self.bare and not self.told[k]["same"]
 
+    def told_by(self) -> Clauses:
+        return Clauses([len(text) if kind != "code" else 0 for text, kind in self.parts], [t["foreign"] for t in self.told], any(kind in ("code", "table") for _, kind in self.parts))
+
+    def defect(self, labels: list[int]) -> str | None:
+        return self.told_by().defect(labels)
+
+
+class Clauses(NamedTuple):
+    """What remains of a pair's clauses once they are read: their sizes without code, which are in another language, and whether there is code or a table."""
+
+    sizes: list[int]
+    foreign: list[bool]
+    code: bool
+
     def defect(self, labels: list[int]) -> str | None:
         """What the clauses' coverage makes of the pair."""
         size: Counter[str] = Counter()
-        for (text, kind), label in zip(self.parts, labels, strict=True):
-            size[LABELS[label]] += len(text) if kind != "code" else 0
-        code = any(kind in ("code", "table") for _, kind in self.parts)
-        if size["refusal"] and not size["answer"] and not size["unfinished"] and not code:
+        for n, label in zip(self.sizes, labels, strict=True):
+            size[LABELS[label]] += n
+        if size["refusal"] and not size["answer"] and not size["unfinished"] and not self.code:
             return "refusal"
-        if size["echo"] and not size["answer"] and not size["foreign"] and not code:
+        if size["echo"] and not size["answer"] and not size["foreign"] and not self.code:
             return "copied_question"
         # An unfinished end counts with its own language.
-        foreign = size["foreign"] + sum(len(t) for (t, _), n, told in zip(self.parts, labels, self.told, strict=True) if LABELS[n] == "unfinished" and told["foreign"])
+        foreign = size["foreign"] + sum(n for n, label, away in zip(self.sizes, labels, self.foreign, strict=True) if LABELS[label] == "unfinished" and away)
         if foreign > 0.5 * sum(size.values()):
             return "other_language"
         if labels and LABELS[labels[-1]] == "unfinished":
@@ -318,18 +384,56 @@ class Pair:
         return None
 
 
-def fit(sample: list[tuple[str | None, str]]) -> tuple[Languages, CRF]:
-    """The language model and the random field, from a bounded sample of pairs on all of whose clauses rules vote."""
-    languages = Languages([t for q, a in sample for t in (q or "", a)], [q for q, _ in sample if q])
-    pairs = [p for q, a in sample if (p := Pair(q, a, languages)).parts]
+def _fitted(told: list[tuple[list[list[int]], list[int]]]) -> CRF:
+    """A field from the features and labels of pairs on all of whose clauses rules vote."""
     field = CRF(_WIDTH, len(LABELS))
-    told = [(p.features(), n) for p in pairs if (n := p.weak_labels())]
     if told:
         # Defects are rare, so pairs with one count several times.
-        told += [t for t in told if any(t[1])] * 4
+        told = told + [t for t in told if any(t[1])] * 4
         field.fit([f for f, _ in told], [n for _, n in told])
+    return field
+
+
+def _leaning(field: CRF) -> CRF:
+    if field.emit.any():
         field.emit[_number("all"), LABELS.index("refusal")] += LEAN
-    return languages, field
+    return field
+
+
+def fit(pairs: list[tuple[str | None, str]]) -> tuple[Languages, CRF]:
+    """The language model and the random field of one block."""
+    languages = Languages.of_pairs(pairs)
+    read = [p for q, a in pairs if (p := Pair(q, a, languages)).parts]
+    return languages, _leaning(_fitted([(p.features(), n) for p in read if (n := p.weak_labels())]))
+
+
+def _weights(field: CRF) -> pd.DataFrame:
+    """The weights of the features that a block has, then of the steps between labels."""
+    own = np.flatnonzero(field.emit.any(1))
+    rows = np.concatenate([field.emit[own], field.step[: len(LABELS) * bool(len(own))]])
+    return pd.DataFrame({"pairs": None, "feature": np.concatenate([own, np.arange(len(rows) - len(own)) + _WIDTH]), "weight": np.rint(rows * float(_UNIT)).astype(np.int64).tolist()})
+
+
+def _mean_field(weights: DataFrame) -> CRF:
+    """The mean of the blocks' fields, each weight over the blocks that have its feature."""
+    field = CRF(_WIDTH, len(LABELS))
+    for feature, n, *sums in weights.groupBy("feature").agg(F.count("*"), *[F.sum(F.col("weight")[k]) for k in range(len(LABELS))]).collect():
+        (field.emit if feature < _WIDTH else field.step)[feature % _WIDTH] = [x / n / _UNIT for x in sums]
+    return field
+
+
+def _packed(ids: pd.DataFrame, clauses: list[Clauses], features: list[list[list[int]]]) -> bytes:
+    """Pairs as they are kept until the field is known."""
+    items = [f for x in features for f in x]
+    flat = np.fromiter(itertools.chain.from_iterable(items), np.uint16, sum(map(len, items)))
+    return zlib.compress(pickle.dumps((ids["record_table"].tolist(), ids["record_id"].tolist(), [tuple(c) for c in clauses], [len(f) for f in items], flat)), 1)
+
+
+def _unpacked(kept: bytes) -> tuple[list[str], list[int], list[Clauses], list[list[list[int]]]]:
+    tables, ids, clauses, sizes, flat = pickle.loads(zlib.decompress(kept))
+    numbers, ends = flat.tolist(), itertools.accumulate(sizes)
+    items = iter([numbers[end - n : end] for n, end in zip(sizes, ends, strict=True)])
+    return tables, ids, [Clauses(*c) for c in clauses], [list(itertools.islice(items, len(c[0]))) for c in clauses]
 
 
 def pair_up(messages: DataFrame) -> DataFrame:
@@ -344,7 +448,7 @@ def pair_up(messages: DataFrame) -> DataFrame:
     return turns.filter("by = 'assistant'").select("session_id", "seq", F.col("id").alias("record_id"), F.col("content").alias("answer")).join(asked, ["session_id", "seq"]).select("record_id", "question", "answer")
 
 
-def answer_defects(pairs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def answer_defects(pairs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The defective pairs, each once: record_table, record_id, defect.
 
     pairs: record_table, record_id, question, answer, exempt (true for pairs whose answer may decline; they are no case).
@@ -353,24 +457,40 @@ def answer_defects(pairs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     than half in another language than the question's (unless it asks for that), or an unfinished end. A null question
     has no language and nothing to repeat; a null record_id is no pair. Repeated rows count once; other columns are ignored; no rows give no rows.
 
-    The field and the words of the languages are fitted on at most `sample` pairs, which rules label; all pairs are tagged.
+    Words of the languages and of topics are counted over all pairs. All pairs on which rules vote fit the field: pairs
+    are spread by their id over blocks of at least `block` (fewer where texts are long), a field is fitted on each, and their mean tags all pairs.
+    Blocks hold the same pairs in the same order however the table is stored. Texts are read into features once, which are kept till the field is known.
     """
     rows = cut(pairs.select("record_table", "record_id", "question", "answer", F.coalesce("exempt", F.lit(False)).alias("exempt"), is_empty(F.col("answer")).alias("empty")).distinct().filter("NOT exempt AND record_id IS NOT NULL"))
-    full = rows.filter("NOT empty")
-    chosen = full.orderBy(F.xxhash64("record_table", "record_id"), "record_table", "record_id").select("question", "answer").limit(sample).collect()
-    model = rows.sparkSession.sparkContext.broadcast(fit([(r["question"], r["answer"]) for r in chosen]))
-
-    def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        languages, field = model.value
+    full = rows.filter("NOT empty").select("record_table", "record_id", "question", "answer")
+    context = rows.sparkSession.sparkContext
+    words = context.broadcast(Languages.of_table(full))
+    count, length = full.agg(F.count("*"), F.coalesce(F.sum(F.length("answer").cast("long")), F.lit(0))).first()
+    blocks = max(1, count // block, length // _BLOCK_TEXT)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told: list[tuple[list[list[int]], list[int]]] = []
         for batch in batches:
-            defects: list[str | None] = []
             for at in range(0, len(batch), _AT_ONCE):
                 some = batch[at : at + _AT_ONCE]
-                found = [Pair(q, a, languages) for q, a in zip(some["question"], some["answer"], strict=True)]
-                defects += [p.defect(t) for p, t in zip(found, field.decode([p.features() for p in found]), strict=True)]
-            yield batch[["record_table", "record_id"]].assign(defect=pd.Series(defects, batch.index, dtype=object)).dropna(subset=["defect"])
+                found = [Pair(q, a, words.value) for q, a in zip(some["question"], some["answer"], strict=True)]
+                features = [p.features() for p in found]
+                told += [(f, n) for p, f in zip(found, features, strict=True) if p.parts and (n := p.weak_labels())]
+                yield pd.DataFrame({"pairs": [_packed(some, [p.told_by() for p in found], features)], "feature": None, "weight": None})
+        yield _weights(_fitted(told))
+
+    order = [F.xxhash64("record_table", "record_id"), "record_table", "record_id", "question", "answer"]
+    known = cut(full.repartition(blocks, "record_table", "record_id").sortWithinPartitions(*order).mapInPandas(read, "pairs binary, feature int, weight array<long>"))
+    model = context.broadcast(_leaning(_mean_field(known.filter("feature IS NOT NULL").select("feature", "weight"))))
+
+    def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for kept in batch["pairs"]:
+                tables, ids, clauses, features = _unpacked(kept)
+                defects = [c.defect(t) for c, t in zip(clauses, model.value.decode(features), strict=True)]
+                yield pd.DataFrame({"record_table": tables, "record_id": ids, "defect": pd.Series(defects, dtype=object)}).dropna(subset=["defect"])
 
-    tagged = full.select("record_table", "record_id", "question", "answer").mapInPandas(tag, "record_table string, record_id long, defect string")
+    tagged = known.filter("pairs IS NOT NULL").select("pairs").mapInPandas(tag, "record_table string, record_id long, defect string")
     return rows.filter("empty").select("record_table", "record_id", F.lit("empty").alias("defect")).unionByName(tagged).groupBy("record_table", "record_id").agg(F.min("defect").alias("defect"))
 
 

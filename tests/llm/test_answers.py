@@ -126,3 +126,39 @@ def test_batches_are_bounded_by_what_they_hold():
     assert sorted(i for g in groups for i in g) == list(range(12)) and [1] in groups and max(map(len, groups)) <= 4
     assert [len(g) for g in batches([[[1]] * 300_000, [[1]] * 300_000], 4)] == [1, 1]
     assert [len(x) for x in CRF(8, 2).decode(sequences)] == [len(s) for s in sequences]
+
+
+def test_every_pair_is_learned_from(spark):
+    """German answers stand beyond the first hundred pairs only, and are known to fit German questions, however many blocks there are and however the table is stored."""
+    from pyspark.sql import functions as F
+
+    kind = "record_table string, record_id long, question string, answer string, exempt boolean"
+    order = [r["record_id"] for r in spark.range(400).select(F.lit("m").alias("record_table"), F.col("id").alias("record_id")).orderBy(F.xxhash64("record_table", "record_id")).collect()]
+    rows = [("m", i, ASK["en"].format(i), TELL["de" if k < 40 else "en"].format(i, i % 40 + 2), False) for k, i in enumerate(order[:360])]
+    rows += [("m", i, ASK["de"].format(i), "Das Ventil hält den Druck und wird geprüft.", False) for i in order[360:399]] + [("m", order[399], ASK["de"].format(7), "Ventil hält Druck, Ventil geprüft.", False)]
+    df = spark.createDataFrame(rows, kind)
+    found = answer_defects(df.repartition(3), 100).collect()
+    assert {r["record_id"]: r["defect"] for r in found} == dict.fromkeys(order[:40], "other_language")
+    assert sorted(map(tuple, found)) == sorted(map(tuple, answer_defects(df.repartition(5, "answer"), 100).collect()))
+
+
+def test_words_are_counted_over_the_table(spark):
+    pairs = [(ASK[k].format(i), TELL[k].format(i, i % 40 + 2)) for i in range(300) for k in ASK] + [(None, "Der Rest ist und bleibt so."), ("", "x"), ("Why is it so?", "")]
+    whole, table = answers.Languages.of_pairs(pairs), answers.Languages.of_table(spark.createDataFrame(pairs, "question string, answer string").repartition(5))
+    assert whole.weight == table.weight and whole.topics == table.topics and "pump" not in whole.topics and len(whole.weight) > 50
+    assert answers.Languages.of_pairs([]).weight == answers.Languages.of_table(spark.createDataFrame([], "question string, answer string")).weight
+
+
+def test_fields_are_averaged_over_the_blocks_that_have_a_feature(spark):
+    from functools import reduce
+
+    fields = []
+    for k in (1, 3):
+        field = CRF(1 << 16, 5)
+        field.emit[7], field.emit[k], field.step[:] = k, 0.5, k
+        fields.append(field)
+    blank = CRF(1 << 16, 5)
+    rows = reduce(lambda a, b: a.unionByName(b), [spark.createDataFrame([(int(f), w) for f, w in zip(x["feature"], x["weight"], strict=True)], "feature int, weight array<long>") for x in map(answers._weights, [*fields, blank])])
+    mean = answers._mean_field(rows)
+    assert mean.emit[7].tolist() == [2] * 5 and mean.emit[1].tolist() == mean.emit[3].tolist() == [0.5] * 5 and (mean.step == 2).all()
+    assert answers._mean_field(rows.limit(0)).emit.any() == False  # noqa: E712
